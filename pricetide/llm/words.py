@@ -35,6 +35,7 @@ IGNORABLE = re.compile(
 )
 
 _FOLD = str.maketrans(LOOKALIKES)
+_DASHES = str.maketrans({c: "-" for c in "‐‑‒–—−﹣－"})
 
 
 def strip_accents(text: str) -> str:
@@ -60,7 +61,7 @@ def fold(text: str | None) -> str:
         return ""
     text = IGNORABLE.sub("", text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
+        text = unicodedata.normalize("NFKC", text).translate(_DASHES)
         text = " ".join(_fold_word(w) for w in text.split())
         text = strip_accents(text.replace("œ", "oe").replace("Œ", "oe"))
     return " ".join(text.lower().split())
