@@ -111,21 +111,22 @@ def offers(listings: DataFrame, brands: list[str], lines: list[str]) -> DataFram
 
 
 def _blocks(fingerprint: Column) -> Column:
-    """The ten look-up keys of a fingerprint: table number and the two rotated-in blocks."""
+    """The ten look-up keys of a fingerprint: table number and the two rotated-in blocks in one number."""
     def block(i: int) -> Column:
         begin, width = BLOCKS[i]
         return F.shiftrightunsigned(fingerprint, 64 - begin - width).bitwiseAND(F.lit((1 << width) - 1))
 
-    keys = []
-    for n, (i, j) in enumerate(TABLES):
-        prefix = F.shiftleft(block(i), BLOCKS[j][1]).bitwiseOR(block(j))
-        keys.append(F.struct(F.lit(n).alias("block_table"), prefix.alias("block_value")))
-    return F.array(*keys)
+    return F.array(*[F.shiftleft(block(i), BLOCKS[j][1]).bitwiseOR(block(j)) + F.lit(n << 32) for n, (i, j) in enumerate(TABLES)])
 
 
 def rotated(offers_: DataFrame) -> DataFrame:
-    """One row per offer and block table."""
-    return offers_.select("*", F.inline(_blocks(F.col("fingerprint"))))
+    """block_key, fingerprint, offer_id, first_id: one row per offer and block table.
+
+    Offers of different shops or conditions never match, so both go into the
+    key; a hot shop is spread over all its block values.  Texts stay behind.
+    """
+    tables = offers_.select("offer_id", "fingerprint", "first_id", "shop", "condition", F.explode(_blocks(F.col("fingerprint"))).alias("block"))
+    return tables.select(F.xxhash64("block", "shop", "condition").alias("block_key"), "fingerprint", "offer_id", "first_id")
 
 
 def _compatible(a: Column, b: Column) -> Column:
@@ -140,50 +141,73 @@ def _compatible(a: Column, b: Column) -> Column:
     return items | ((a.startswith("words ") | b.startswith("words ")) & overlap)
 
 
+_OFFER_KEY = ["offer_id", "shop", "condition", "offer_key"]
+
+
 class OfferStore:
-    """All accepted offers, as rotated block tables in the shared folder."""
+    """All accepted offers: a table of their texts and the rotated block tables of their fingerprints.
+
+    Both lie in the shared folder, one part per batch; accepting a batch reads
+    them and appends the part of its new offers.
+    """
 
     def __init__(self, spark: SparkSession, brands: list[str], lines: list[str], path: str | None = None):
         self.spark, self.brands, self.lines = spark, brands, lines
         self.path = path or scratch_path(spark, "offers")
         self.batches = 0
 
-    def _known(self) -> DataFrame | None:
-        return self.spark.read.parquet(*[f"{self.path}/offers/{i}" for i in range(self.batches)]) if self.batches else None
+    def _known(self, part: str) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.path}/{part}/{i}" for i in range(self.batches)]) if self.batches else None
 
     def accept(self, batch: DataFrame) -> DataFrame:
         """The rows of ``batch`` that repeat an offer: first_listing_id, listing_id.
 
-        Looks up only the batch in the stored tables, and in its own; then
-        appends the offers that were new.  The result is a written table.
+        Offers worded as a known one are found by their text; only the others
+        are looked up in the block tables of the store and of the batch itself.
+        The result is a written table.
         """
         n, spark = self.batches, self.spark
-        rows_at, links_at, found_at = (f"{self.path}/{part}/{n}" for part in ("rows", "links", "found"))
-        offers(batch, self.brands, self.lines).write.parquet(rows_at)
+        rows_at, found_at, fresh_at = (f"{self.path}/{part}/{n}" for part in ("rows", "found", "fresh"))
+        read_rows = offers(batch, self.brands, self.lines).withColumn("offer_id", F.xxhash64("shop", "condition", "offer_key"))
+        read_rows.write.parquet(rows_at)
         rows = spark.read.parquet(rows_at)
         # one row per offer; copies of a hot offer are merged before anything is shuffled by key
-        mine = rows.groupBy("shop", "condition", "offer_key", "fingerprint").agg(F.min("listing_id").alias("first_id"), F.max("sku").alias("sku"))
-        tables = rotated(mine)
-        known = self._known()
-        pool = tables if known is None else known.unionByName(tables)
-        right = pool.select(*(F.col(c).alias(f"o_{c}") for c in pool.columns))
-        same_key = [F.col(c) == F.col(f"o_{c}") for c in ("block_table", "block_value", "shop", "condition")]
-        near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("o_fingerprint"))) <= MOST_BITS
-        same_sku = F.col("sku") == F.col("o_sku")
-        verified = (F.col("offer_key") == F.col("o_offer_key")) | F.coalesce(same_sku, _compatible(F.col("offer_key"), F.col("o_offer_key")))
-        hits = tables.join(right, on=same_key, how="inner").where(near & verified)
-        links = hits.groupBy("shop", "condition", "offer_key", "fingerprint").agg(F.min("o_first_id").alias("root"))
-        links.write.parquet(links_at)
-        links = spark.read.parquet(links_at)
-        seen_before = links.join(mine.select("shop", "condition", "offer_key", "fingerprint", "sku", F.col("first_id").alias("own_id")), ["shop", "condition", "offer_key", "fingerprint"])
-        fresh = seen_before if known is None else seen_before.join(known.where("block_table = 0").select("shop", "condition", "offer_key"), ["shop", "condition", "offer_key"], "left_anti")
-        fresh = fresh.select("shop", "condition", "offer_key", "fingerprint", F.col("root").alias("first_id"), "sku")
-        rotated(fresh).write.parquet(f"{self.path}/offers/{n}")
-        found = rows.join(links, ["shop", "condition", "offer_key", "fingerprint"]).where("listing_id > root")
-        found.select(F.col("root").alias("first_listing_id"), "listing_id").distinct().write.parquet(found_at)
+        mine = rows.groupBy(*_OFFER_KEY, "fingerprint").agg(F.min("listing_id").alias("first_id"), F.max("sku").alias("sku"))
+        known, blocks = self._known("offers"), self._known("blocks")
+        if known is None:
+            fresh, repeated = mine, None
+        else:
+            fresh = mine.join(known.select(*_OFFER_KEY), _OFFER_KEY, "left_anti")
+            repeated = rows.join(known.select(*_OFFER_KEY, F.col("first_id").alias("root")), _OFFER_KEY).select("listing_id", "root")
+        fresh.write.parquet(fresh_at)
+        fresh = spark.read.parquet(fresh_at)
+        roots = self._near_roots(fresh, known, blocks)
+        settled = fresh.join(roots, "offer_id", "left").withColumn("root", F.least("first_id", F.coalesce("root", "first_id")))
+        new = settled.select(*_OFFER_KEY, "fingerprint", "sku", F.col("root").alias("first_id"))
+        new.write.parquet(f"{self.path}/offers/{n}")
+        new = spark.read.parquet(f"{self.path}/offers/{n}")
+        rotated(new).write.parquet(f"{self.path}/blocks/{n}")
+        linked = rows.join(new.select(*_OFFER_KEY, F.col("first_id").alias("root")), _OFFER_KEY).select("listing_id", "root")
+        linked = linked if repeated is None else linked.unionByName(repeated)
+        linked.where("listing_id > root").select(F.col("root").alias("first_listing_id"), "listing_id").distinct().write.parquet(found_at)
         self.batches += 1
         return spark.read.parquet(found_at)
 
+    def _near_roots(self, fresh: DataFrame, known: DataFrame | None, blocks: DataFrame | None) -> DataFrame:
+        """offer_id, root: the earliest offer that each new offer agrees with though it is worded otherwise."""
+        tables = rotated(fresh)
+        pool = tables if blocks is None else blocks.unionByName(tables)
+        other = pool.select("block_key", F.col("fingerprint").alias("o_fingerprint"), F.col("offer_id").alias("o_id"), F.col("first_id").alias("o_first"))
+        near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("o_fingerprint"))) <= MOST_BITS
+        met = tables.join(other, "block_key").where(near & (F.col("offer_id") != F.col("o_id"))).select("offer_id", "o_id", "o_first").distinct()
+        texts = fresh.select("offer_id", "shop", "condition", "offer_key", "sku")
+        theirs = texts if known is None else texts.unionByName(known.select(*texts.columns))
+        theirs = theirs.select(F.col("offer_id").alias("o_id"), *(F.col(c).alias(f"o_{c}") for c in texts.columns[1:]))
+        pairs = met.join(texts, "offer_id").join(theirs, "o_id")
+        same_place = (F.col("shop") == F.col("o_shop")) & (F.col("condition") == F.col("o_condition"))
+        verified = F.coalesce(F.col("sku") == F.col("o_sku"), _compatible(F.col("offer_key"), F.col("o_offer_key")))
+        return pairs.where(same_place & verified).groupBy("offer_id").agg(F.min("o_first").alias("root"))
+
 
 def repeats(listings: DataFrame, ref_values: DataFrame, history_batch: int = 0) -> DataFrame:
     """first_listing_id, listing_id of every listing of a new batch that repeats an offer.

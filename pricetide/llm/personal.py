@@ -279,8 +279,8 @@ def common_places(tables: list[tuple[DataFrame, str]], share: float = PLACE_SHAR
         one = df.select(F.trim(F.col(column)).alias("place")).where("place is not null and place <> ''")
         named = one if named is None else named.unionByName(one)
     counts = named.groupBy("place").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    rows = counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.col("total") * F.lit(share)).select("place").collect()
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") >= total * share).select("place").collect()
     return sorted({fold(r[0]) for r in rows})
 
 

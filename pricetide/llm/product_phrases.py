@@ -194,8 +194,8 @@ def mine_lines(names: DataFrame, name: str, brands: Iterable[str], share: float
     parts = names.select(F.regexp_extract(text, r"^(\p{L}+)\s+([a-z]{3,})\s+[0-9]{4}[ksx]?(?:\s|$)", 1).alias("brand"),
                          F.regexp_extract(text, r"^(\p{L}+)\s+([a-z]{3,})\s+[0-9]{4}[ksx]?(?:\s|$)", 2).alias("line"))
     counts = parts.where(F.col("line") != "").where(F.col("brand").isin(known)).groupBy("line").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    rows = counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.col("total") * F.lit(share)).select("line", "n").collect()
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") >= total * share).select("line", "n").collect()
     ranked = sorted(((r["n"], r["line"]) for r in rows), key=lambda x: (-x[0], x[1]))
     kept: list[tuple[int, str]] = []
     for n, line in ranked:
