@@ -66,9 +66,6 @@ class Fingerprint:
         at = self._row.get(gram)
         if at is None:
             at = len(self._row)
-            if at > 500_000:
-                self._row.clear()
-                at = 0
             if at >= len(self._bits):
                 self._bits = np.vstack([self._bits, np.zeros_like(self._bits)])
             digest = np.frombuffer(hashlib.blake2b(gram.encode(), digest_size=8).digest(), dtype=np.uint8)
@@ -78,8 +75,13 @@ class Fingerprint:
 
     def of(self, text: str) -> int:
         padded = f"  {text}  "
-        rows = [self._index(padded[i:i + 4]) for i in range(len(padded) - 3)]
-        bits = (self._bits[rows].sum(axis=0, dtype=np.int64) > 0).astype(np.uint8)
+        total = np.zeros(64, dtype=np.int64)
+        for at in range(0, len(padded) - 3, 4096):  # long texts piece by piece
+            if len(self._row) > 500_000:
+                self._row.clear()
+            rows = [self._index(padded[i:i + 4]) for i in range(at, min(at + 4096, len(padded) - 3))]
+            total += self._bits[rows].sum(axis=0, dtype=np.int64)
+        bits = (total > 0).astype(np.uint8)
         return int(np.packbits(bits).view(">i8")[0])
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -130,7 +131,7 @@ class LeakFinder:
         for item in self.items.values():
             stream, at = "".join(item.words), 0
             if stream and len(stream) < LENGTH:
-                self.short.append((item.item_id, stream))
+                self.short.append((item.item_id, f" {' '.join(item.words)} "))
             for i, w in enumerate(item.words):
                 if at + LENGTH <= len(stream):
                     patterns.setdefault(stream[at:at + LENGTH], []).append((item.item_id, i))
@@ -149,7 +150,10 @@ class LeakFinder:
             for item_id, i in self.search.patterns[pattern]:
                 seeds.setdefault(item_id, set()).add(i)
                 places.setdefault(item_id, []).append(begin)
-        found = [i for i, s in self.short if s in stream and re.search(rf"(?<!\w){re.escape(s)}(?!\w)", " ".join(words))]
+        found = []
+        if self.short:
+            spaced = f" {' '.join(words)} "
+            found = [i for i, s in self.short if s in spaced]
         if seeds:
             starts, at = [], 0
             for w in words:
@@ -162,8 +166,7 @@ class LeakFinder:
                 continue
             low, high = min(places[item_id]), max(places[item_id]) + LENGTH
             room = len(item.words)
-            from_ = next((k for k, s in enumerate(starts) if s >= low), 0)
-            to = next((k for k in range(from_, len(starts)) if starts[k] >= high), len(starts))
+            from_, to = bisect_left(starts, low), bisect_left(starts, high)
             region = words[max(0, from_ - room):to + room]
             if item.longest_stretch(region) >= item.least:
                 found.append(item_id)

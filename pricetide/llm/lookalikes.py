@@ -2,11 +2,11 @@
 
 A text is first brought to composed form: full-width letters, presentation forms
 and the many blanks become the plain characters, code points that draw nothing
-go.  Then every word with a letter outside ASCII is a lattice: each position
-offers all letters drawn like the one that stands there.  A Viterbi search takes
-the path with the best character n-gram score under a model that keeps a word
-in one script; the n-grams are counted over all words of the corpus.  As the
-lattice depends only on how the word looks, words that look the same always
+go.  Then every word is a lattice: each position offers all letters drawn like
+the one that stands there.  A Viterbi search takes the path with the best
+character n-gram score under a model that keeps a word in one script; the
+n-grams are counted over all words of the corpus.  Where only one script can
+spell the word, the path is plain without a search.  As the lattice depends only on how the word looks, words that look the same always
 come out the same, and a word truly written in another script keeps its script.
 
 Letter case, accents, wording, other notations and signs such as (tm), squares
@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,8 @@ from pricetide.llm.words import IGNORABLE, LOOKALIKES
 
 #: Cost of changing the script within a word, in nats.
 SWITCH_COST = 30.0
+#: Of equal paths the one wins whose letters come first in their classes, Latin before all.
+TIE_COST = 0.001
 #: Letters counted for the model end here, so it has at most as many pairs as these code points allow.
 LAST_LETTER = 0x58F
 
@@ -79,6 +82,15 @@ for _base, _members in list(_CLASS.items()):
         _CLASS[_c] = _members
 
 
+_LATIN = frozenset({"latin"})
+
+
+@lru_cache(maxsize=None)
+def _scripts(c: str) -> frozenset[str]:
+    """The scripts that have a letter which looks like this one."""
+    return frozenset(script(m) for m in _CLASS.get(c, (c,))) - {""}
+
+
 class Unifier:
     """Viterbi search over look-alike lattices; ``pairs`` holds the counts of letter pairs."""
 
@@ -93,27 +105,36 @@ class Unifier:
         return math.log((self.pairs.get((a, b), 0) + 0.1) / (self.first.get(a, 0) + 10.0))
 
     def word(self, word: str) -> str:
-        if word.isascii() or not any(c in LOOKALIKES for c in word):
-            # nothing but plain letters, or a foreign letter without a double: only a mixture needs the search
-            if word.isascii() or all(script(c) in ("latin", "") for c in word) or not any(c in _CLASS for c in word):
-                return word
+        """The form of a word; it depends only on the classes of its letters, that is, on its look."""
+        common: frozenset[str] | None = None
+        for c in word:
+            scripts = _scripts(c)
+            if scripts:
+                common = scripts if common is None else common & scripts
+        if common is None:
+            return word
+        if common == _LATIN:  # no other script can spell the word
+            return "".join(LOOKALIKES.get(c, c) for c in word)
         done = self.cache.get(word)
         if done is None:
-            done = self._search(word)
+            done = self._search(word, common)
             if len(self.cache) >= self.most_words:
                 self.cache.popitem(last=False)
             self.cache[word] = done
         return done
 
-    def _search(self, word: str) -> str:
+    def _search(self, word: str, allowed: frozenset[str]) -> str:
         # a state is (letter, script in force); signs without a script carry the script on
         paths: dict[tuple[str, str], tuple[float, str]] = {("^", ""): (0.0, "")}
         for c in word:
             after: dict[tuple[str, str], tuple[float, str]] = {}
             for (last, now), (total, text) in paths.items():
-                for letter in _CLASS.get(c, (c,)):
+                for place, letter in enumerate(_CLASS.get(c, (c,))):
                     kind = script(letter)
+                    if kind and allowed and kind not in allowed:
+                        continue
                     cost = total + (self.score(last, letter) if kind else 0.0) - (SWITCH_COST if kind and now and kind != now else 0.0)
+                    cost -= TIE_COST * place
                     key = (letter if kind else "^", kind or now)
                     old = after.get(key)
                     if old is None or (cost, text + letter) > old:

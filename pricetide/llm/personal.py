@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -174,8 +175,7 @@ class PersonalFinder:
         if "@" in text or re.search(r"arobase|\(a\)|\[a\]|[\[({<]at[\])}>]|\sat\s", folded):
             got += [Finding(m.start(), m.end(), "email") for m in _EMAIL.finditer(text) if re.search(r"[A-Za-z]{2,}$", m[0])]
         got += self._addresses(text, folded, anchors)
-        taken = list(got)
-        got += [f for f in self._numbers(text, anchors) if not any(f.begin < t.end and t.begin < f.end for t in taken)]
+        got += self._numbers(text, anchors, got)
         got += self._names(text, folded, anchors)
         out: list[Finding] = []
         for f in sorted(got, key=lambda f: (f.begin, -f.end)):
@@ -198,28 +198,38 @@ class PersonalFinder:
                 out.append(Finding(m.start(), end, "address"))
         return out
 
-    def _numbers(self, text: str, anchors: dict) -> list[Finding]:
-        labels = sorted([(e, "id") for _, e in anchors.get("id", ())] + [(e, "other") for _, e in anchors.get("other", ())] + [(e, "phone") for _, e in anchors.get("phone", ())])
+    def _numbers(self, text: str, anchors: dict, taken: list[Finding]) -> list[Finding]:
+        labels = sorted((e, kind) for kind in ("id", "other", "phone") for _, e in anchors.get(kind, ()))
+        ends = [e for e, _ in labels]
+        covered = bytearray(len(text))
+
+        def cover(begin: int, end: int) -> None:
+            covered[begin:end] = b"\1" * (end - begin)
+
+        for f in taken:
+            cover(f.begin, f.end)
 
         def label(at: int) -> str | None:
-            near = [(e, k) for e, k in labels if e <= at and at - e <= _LABEL_REACH and not re.search(r"[.!?]\s|\n|\d", text[e:at])]
-            return near[-1][1] if near else None
+            """The kind of the last label before a number in the same sentence, with no other number between."""
+            k = bisect_right(ends, at) - 1
+            if k < 0 or at - ends[k] > _LABEL_REACH or re.search(r"[.!?]\s|\n|\d", text[ends[k]:at]):
+                return None
+            return labels[k][1]
 
-        out: list[Finding] = []
-        for m in _PHONE.finditer(text):
-            digits = sum(c.isdigit() for c in m[0])
-            if not 9 <= digits <= 15 or label(m.start()) in ("other", "id"):
-                continue
-            if re.match(r"00(?!\s?[1-9])", m[0]):
-                continue
-            out.append(Finding(m.start(), m.end(), "phone"))
+        ids: list[Finding] = []
         for m in _ID.finditer(text):
             kind = label(m.start())
             sure = _SURE_ID.fullmatch(m[0]) is not None
-            if kind == "id" or (sure and kind not in ("other", "phone")):
-                if not any(f.begin < m.end() and m.start() < f.end for f in out if kind != "id"):
-                    out = [f for f in out if not (f.begin < m.end() and m.start() < f.end)]
-                    out.append(Finding(m.start(), m.end(), "id_number"))
+            if (kind == "id" or (sure and kind not in ("other", "phone"))) and covered.find(1, m.start(), m.end()) < 0:
+                ids.append(Finding(m.start(), m.end(), "id_number"))
+                cover(m.start(), m.end())
+        out = ids
+        for m in _PHONE.finditer(text):
+            digits = sum(c.isdigit() for c in m[0])
+            if not 9 <= digits <= 15 or label(m.start()) in ("other", "id") or re.match(r"00(?!\s?[1-9])", m[0]):
+                continue
+            if covered.find(1, m.start(), m.end()) < 0:
+                out.append(Finding(m.start(), m.end(), "phone"))
         return out
 
     def _names(self, text: str, folded: str, anchors: dict) -> list[Finding]:

@@ -82,7 +82,7 @@ class Matcher:
     """One shard of the reference list of one kind."""
 
     def __init__(self, entries: list[tuple[int, str, str | None, str | None]]):
-        self.tree, self.exact, self.prefixes = BKTree(), {}, {}
+        self.tree, self.exact, self.prefixes, self.longest = BKTree(), {}, {}, 0
         for ref_id, value, alt, code in entries:
             for name in (value, alt):
                 words = re.findall(r"[^\W_]+", fold(name))
@@ -90,6 +90,7 @@ class Matcher:
                     key = "".join(words[i:] + words[:i])
                     self.exact.setdefault(key, set()).add(ref_id)
                     self.tree.add(key, ref_id)
+                    self.longest = max(self.longest, len(key))
                 if len(words) > 1:
                     self.prefixes["".join(words)] = (ref_id, len(words[0]))
             if code and squeezed(fold(code)):
@@ -114,22 +115,26 @@ class Matcher:
 
         n = len(words)
         single = n > 3 and all(len(w) == 1 for w in words)
+        foreign = [0]
+        for w in words:
+            foreign.append(foreign[-1] + (w not in SIDE_WORDS))
         runs = [(0, n)] if single else sorted(((i, j) for i in range(n) for j in range(i + 1, n + 1) if j - i <= 6), key=lambda r: r[0] - r[1])
         for i, j in runs:
-            run = "".join(words[i:j])
-            outside = words[:i] + words[j:]
             # dropping a word of unknown meaning weighs like an edit
-            dropped = sum(w not in SIDE_WORDS for w in outside)
+            dropped, outside = foreign[n] - foreign[j] + foreign[i], n - (j - i)
             if dropped > 1:
                 continue
+            run = "".join(words[i:j])
+            if len(run) > self.longest + MOST_EDITS:
+                continue
             if run in self.exact and (len(run) > 2):
-                take((dropped, len(outside)), self.exact[run])
+                take((dropped, outside), self.exact[run])
                 continue
             most = min(edits_for(run), best[0] - dropped)
             if most > 0:
                 for d, name, ref_id in self.tree.within(run, most):
                     if d <= edits_for(name):
-                        take((d + dropped, len(outside)), {ref_id})
+                        take((d + dropped, outside), {ref_id})
         if best == NO_MATCH and fold(typed).endswith(".") and len(whole) >= 5:
             ids = {ref_id for name, (ref_id, first) in self.prefixes.items() if name.startswith(whole) and len(whole) > first}
             ids = ids or {ref_id for name, (ref_id, first) in self.prefixes.items() if len(whole) > first + 1 and damerau(name[:len(whole)], whole) <= 1}
