@@ -208,14 +208,13 @@ def o3_top_deals(spark, d):
     return o.orderBy(F.desc("savings"), "listing_id").limit(10).select("listing_id", "product_id", "store_name", "savings")
 
 
-@query(f"""WITH {OFFERS_SQL}, multi AS (SELECT product_id FROM offers WHERE current_price IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
-cheapest AS (SELECT * FROM (SELECT o.*, row_number() OVER (PARTITION BY o.product_id ORDER BY o.current_price, o.listing_id) AS r FROM offers o JOIN multi USING (product_id) WHERE o.current_price IS NOT NULL) WHERE r = 1)
-SELECT product_id, listing_id, round(coalesce((original_price - current_price) / original_price, 0), 4) AS ratio FROM cheapest ORDER BY ratio DESC, product_id LIMIT 10""")
+@query(f"""WITH {OFFERS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY product_name ORDER BY current_price, listing_id) AS r, count(*) OVER (PARTITION BY product_name) AS n FROM offers WHERE current_price IS NOT NULL)
+SELECT product_name, listing_id, round((original_price - current_price) / original_price, 4) AS ratio FROM ranked WHERE r = 1 AND n >= 2 AND original_price > current_price ORDER BY ratio DESC, product_name LIMIT 10""")
 def o4_deal_ratio(spark, d):
-    first = current(spark, d).where("current_price is not null").groupBy("product_id").agg(F.count("*").alias("n"), F.min(F.struct("current_price", "listing_id", "original_price")).alias("f"))
+    first = current(spark, d).where("current_price is not null").groupBy("product_name").agg(F.count("*").alias("n"), F.min(F.struct("current_price", "listing_id", "original_price")).alias("f"))
     c, o = F.col("f.current_price"), F.col("f.original_price")
-    deals = first.where(F.col("n") >= 2).select("product_id", F.col("f.listing_id").alias("listing_id"), F.round(F.coalesce((o - c) / o, F.lit(0.0)), 4).alias("ratio"))
-    return deals.orderBy(F.desc("ratio"), "product_id").limit(10)
+    deals = first.where((F.col("n") >= 2) & (o > c)).select("product_name", F.col("f.listing_id").alias("listing_id"), F.round((o - c) / o, 4).alias("ratio"))
+    return deals.orderBy(F.desc("ratio"), "product_name").limit(10)
 
 
 @query(f"WITH {OFFERS_SQL} SELECT product_id, max(product_review_count) AS reviews FROM offers WHERE product_id IS NOT NULL GROUP BY 1 ORDER BY reviews DESC NULLS LAST, product_id LIMIT 10")
