@@ -191,12 +191,11 @@ def x_for_matching(spark, d):
     return read(spark, d, "clean_products").select("product_id", text.for_matching(F.col("canonical_name")).alias("name"))
 
 
-@query("SELECT a.product_id AS a, b.product_id AS b, levenshtein(a.canonical_name, b.canonical_name) AS distance FROM clean_products a JOIN clean_products b ON a.brand = b.brand AND a.category = b.category AND a.product_id < b.product_id WHERE levenshtein(a.canonical_name, b.canonical_name) <= 3")
-def x_levenshtein_pairs(spark, d):
-    p = read(spark, d, "clean_products").where("brand is not null and category is not null").select("product_id", "canonical_name", "brand", "category")
-    q = p.select(F.col("product_id").alias("b"), F.col("canonical_name").alias("m"), "brand", "category")
-    dist = F.levenshtein("canonical_name", "m", 3)
-    return p.join(q, ["brand", "category"]).where(F.col("product_id") < F.col("b")).where(dist.between(0, 3)).select(F.col("product_id").alias("a"), "b", dist.cast("long").alias("distance"))
+@query("SELECT l.listing_id, levenshtein(l.canonical_name, p.canonical_name) AS distance FROM product_listings l JOIN clean_products p ON p.product_id = l.product_id WHERE l.canonical_name IS NOT NULL AND p.canonical_name IS NOT NULL")
+def x_levenshtein(spark, d):
+    p = read(spark, d, "clean_products").where("canonical_name is not null").select("product_id", F.col("canonical_name").alias("product_name"))
+    l = read(spark, d, "product_listings").where("canonical_name is not null").select("listing_id", "product_id", "canonical_name")
+    return l.join(p, "product_id").select("listing_id", F.levenshtein("canonical_name", "product_name").cast("long").alias("distance"))
 
 
 def x_catalog_record(spark, d):
