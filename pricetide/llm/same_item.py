@@ -113,11 +113,15 @@ def same_items(clean_products: DataFrame, scrape_results: DataFrame, ref_values:
 def pairs_across_sellers(grouped: DataFrame) -> DataFrame:
     """id_a, id_b of entries of one item from different sellers, the smaller id first.
 
-    The result names every pair, so its size follows from the groups; the join
-    is by item and an item's pairs are made seller by seller.
+    The result names every pair.  Pairs of sellers of an item come first and are
+    then filled with their entries, so entries of one seller never meet and the
+    joins make no row that is no result.
     """
     seller = F.coalesce(F.trim(F.lower("seller")), F.concat(F.lit("?"), F.col("entry_id").cast("string")))
-    rows = grouped.where("item is not null").select("item", "entry_id", seller.alias("seller"))
-    a = rows.select("item", F.col("entry_id").alias("id_a"), F.col("seller").alias("seller_a"))
-    b = rows.select("item", F.col("entry_id").alias("id_b"), F.col("seller").alias("seller_b"))
-    return a.join(b, "item").where("id_a < id_b and seller_a <> seller_b").select("id_a", "id_b").distinct()
+    rows = grouped.where("item is not null").select("item", "entry_id", seller.alias("seller")).distinct()
+    offered = rows.select("item", "seller").distinct()
+    sellers = offered.withColumnRenamed("seller", "a").join(offered.withColumnRenamed("seller", "b"), "item").where("a < b")
+    left = rows.select("item", F.col("seller").alias("a"), F.col("entry_id").alias("x"))
+    right = rows.select("item", F.col("seller").alias("b"), F.col("entry_id").alias("y"))
+    pairs = sellers.join(left, ["item", "a"]).join(right, ["item", "b"])
+    return pairs.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pricetide.llm.words import damerau, fold
 
 MOST_BROADCAST = 50_000
+#: Distinct typed values that meet a shard in one task.
+VALUES_PER_TASK = 20_000
 #: Edits allowed: one for a name of four to six letters, two from seven on; none below.
 MOST_EDITS = 2
 NO_MATCH = (99, 99)
@@ -175,7 +177,7 @@ def mapped_values(values: DataFrame, ref: DataFrame, most_broadcast: int = MOST_
         parts = ref.select("ref_id", "value", "alt_value", "short_code", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).alias("shard"))
         # a value meets each shard; salts keep a shard's values apart in pieces that fit one task
         pieces = values.select("value", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-        salts = 16
+        salts = -(-values.count() // VALUES_PER_TASK) or 1
         pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)))
         parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
