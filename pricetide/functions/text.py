@@ -154,3 +154,18 @@ def spec_lines(specs: Column, default: str = "Produit neuf") -> Column:
     entries = F.filter(F.map_entries(specs), lambda e: e["value"].isNotNull() & ~e["value"].isin("", "Unknown", "N/A"))
     lines = F.transform(F.array_sort(entries), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     return F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(default)))
+
+
+# Shop words taken out of titles, each where it first stands, also inside words.
+FLUFF = ("dz$", "dz\\s+", "dz\\b", "algerie", "algeria", "dzair", "store", "shop", "market", "boutique", "gamme", "series", "collection", "nouveau", "new", "neuf", "occasion", "promo", "solde", "discount", "offre", "en stock", "disponible", "livraison", "best price", "meilleur prix", "acheter", "buy", "commande", "pc gamer", "gaming", "pro", "ultra", "setup", "config", "build")
+
+
+def without_fluff(c: Column, length: int = 120) -> Column:
+    """A title without mark-up, links, shop words and signs, cut at a word where it is longer than ``length``."""
+    c = squeeze(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), r"https?://\S+", ""))
+    for word in FLUFF:
+        # the first occurrence only: what stands before it is kept by a reluctant prefix
+        c = F.regexp_replace(c, f"(?is)^(.*?)(?:{word})", "$1")
+    c = squeeze(F.regexp_replace(c, r"[⭐✅🔥💯🎮💻]|\bnull\b|\bundefined\b", ""))
+    c = F.trim(F.regexp_replace(c, r"[\-|/\\,.]+$", ""))
+    return F.when(F.length(c) > length, F.regexp_replace(F.substring(c, 1, length), r"\s+\S*$", "")).otherwise(c)

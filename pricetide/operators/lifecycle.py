@@ -27,7 +27,7 @@ def price_log(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> Da
     """keys, old_price, new_price of every key whose value appeared or changed."""
     o = old.select(*keys, F.col(value).alias("old_price"))
     n = new.select(*keys, F.col(value).alias("new_price"))
-    return n.join(o, keys, "left").where("new_price is not null and not (new_price <=> old_price)")
+    return n.join(o, keys, "left").where("new_price is not null and not (new_price <=> old_price)").select(*keys, "old_price", "new_price")
 
 
 def aged(listings: DataFrame, as_of: Column, stale_after: Column) -> DataFrame:

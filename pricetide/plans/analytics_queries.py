@@ -191,11 +191,12 @@ def x_for_matching(spark, d):
     return read(spark, d, "clean_products").select("product_id", text.for_matching(F.col("canonical_name")).alias("name"))
 
 
-@query("SELECT l.listing_id, levenshtein(l.canonical_name, p.canonical_name) AS distance FROM product_listings l JOIN clean_products p ON p.product_id = l.product_id WHERE l.canonical_name IS NOT NULL AND p.canonical_name IS NOT NULL")
+@query("SELECT l.listing_id, levenshtein(regexp_replace(l.canonical_name, '[^ -~]', '', 'g'), regexp_replace(p.canonical_name, '[^ -~]', '', 'g')) AS distance FROM product_listings l JOIN clean_products p ON p.product_id = l.product_id WHERE l.canonical_name IS NOT NULL AND p.canonical_name IS NOT NULL")
 def x_levenshtein(spark, d):
     p = read(spark, d, "clean_products").where("canonical_name is not null").select("product_id", F.col("canonical_name").alias("product_name"))
     l = read(spark, d, "product_listings").where("canonical_name is not null").select("listing_id", "product_id", "canonical_name")
-    return l.join(p, "product_id").select("listing_id", F.levenshtein("canonical_name", "product_name").cast("long").alias("distance"))
+    ascii_ = lambda c: F.regexp_replace(c, "[^ -~]", "")  # noqa: E731 - the engines count other letters differently
+    return l.join(p, "product_id").select("listing_id", F.levenshtein(ascii_("canonical_name"), ascii_("product_name")).cast("long").alias("distance"))
 
 
 def x_catalog_record(spark, d):

@@ -298,7 +298,47 @@ def m10_filled_from_details(spark, d):
     return enriched(o, read(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment").select("o_orderkey", F.coalesce("c_mktsegment", F.lit("?")).alias("filled"))
 
 
-for f in (f11_fitting_offers, f13_portables, j14_best_match, j15_taxonomy_matches, x_title_kinds):
+@query("""WITH p AS (SELECT product_id, canonical_name, brand FROM clean_products WHERE product_id = 35), l AS (SELECT l.*, s.source_id FROM product_listings l LEFT JOIN sources s ON s.name = l.source_name WHERE l.product_id = 35 AND l.price IS NOT NULL)
+SELECT p.product_id, p.canonical_name, p.brand, l.listing_id, l.price, l.source_id FROM p LEFT JOIN l ON l.product_id = p.product_id""")
+def e1_product_page(spark, d):
+    p = read(spark, d, "clean_products").where("product_id = 35").select("product_id", "canonical_name", "brand")
+    s = read(spark, d, "sources").select(F.col("name").alias("source_name"), "source_id")
+    l = read(spark, d, "product_listings").where("product_id = 35 and price is not null").join(s, "source_name", "left").select("product_id", "listing_id", "price", "source_id")
+    return p.join(l, "product_id", "left")
+
+
+@query("SELECT product_id, canonical_name FROM clean_products WHERE canonical_name ILIKE '%basalte%' ORDER BY product_id LIMIT 1")
+def e2_product_by_name(spark, d):
+    return read(spark, d, "clean_products").where(F.col("canonical_name").ilike("%basalte%")).orderBy("product_id").limit(1).select("product_id", "canonical_name")
+
+
+@query(f"WITH {OFFERS_SQL} SELECT listing_id, product_name, product_brand FROM offers WHERE category_slug = 'storage' AND (product_name ILIKE '%nvme%' OR product_brand ILIKE '%nvme%') ORDER BY listing_id LIMIT 20")
+def e10_products(spark, d):
+    o = current(spark, d).where("category_slug = 'storage'").where(F.col("product_name").ilike("%nvme%") | F.col("product_brand").ilike("%nvme%"))
+    return o.orderBy("listing_id").limit(20).select("listing_id", "product_name", "product_brand")
+
+
+@query(f"""WITH {OFFERS_SQL}, pool AS (SELECT * FROM offers WHERE category_slug = 'keyboard' AND contains(lower(product_name), 'qwerty')), one AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY listing_id) AS r FROM pool)
+SELECT product_id, listing_id, current_price FROM one WHERE r = 1 ORDER BY coalesce(current_price, 0), listing_id LIMIT 40""")
+def e12_browse_page(spark, d):
+    pool = current(spark, d).where("category_slug = 'keyboard'").where(F.lower("product_name").contains("qwerty")).select("product_id", "listing_id", "current_price")
+    one = pool.groupBy("product_id").agg(F.min(F.struct("listing_id", "current_price")).alias("f")).select("product_id", "f.listing_id", "f.current_price")
+    return one.orderBy(F.coalesce("current_price", F.lit(0)), "listing_id").limit(40)
+
+
+def m9_recategorized(spark, d):
+    """How many titles change their category under the engine's rules."""
+    t = read(spark, d, "scrape_results").select(F.coalesce("category", F.lit("?")).alias("old"), kinds.engine_category(F.col("title"), F.col("url")).alias("new"))
+    return t.groupBy("old", "new").agg(F.count("*").alias("n"))
+
+
+def x_title_specs(spark, d):
+    """Cleaned titles with every specification that they state."""
+    r = read(spark, d, "scrape_results").where("title is not null").select("result_id", text.without_fluff(F.col("title")).alias("title"))
+    return r.select("result_id", "title", kinds.title_specs(F.col("title")).alias("specs"))
+
+
+for f in (m9_recategorized, x_title_specs, f11_fitting_offers, f13_portables, j14_best_match, j15_taxonomy_matches, x_title_kinds):
     query()(f)
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

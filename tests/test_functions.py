@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from pricetide.functions import catalog, price, text
+from pricetide.functions import catalog, kinds, price, text
 
 PRICES = [  # text, scraped, cleaned, engine
     ("129.000,00 DA", 129000, None, 129.0), ("55.000 DA", 55000, 55000.0, 55.0), ("55.500 DA", 55500, 55.5, 55.5), ("96 000,00 DA", 96000, 96000.0, 96000.0), ("96000,00 DZD", 9600000, 96000.0, 9600000.0),
@@ -82,3 +82,26 @@ def test_similarity(spark):
 def test_spec_lines(spark):
     df = spark.createDataFrame([({"a": "1", "b": "N/A"},), ({},), (None,)], "s map<string,string>").select(text.spec_lines(F.col("s")))
     assert [r[0] for r in df.collect()] == [["a: 1"], ["Produit neuf"], ["Produit neuf"]]
+
+
+def test_title_rules(spark):
+    assert one(spark, "<b>RTX 4070</b> new pro DZ - ", text.without_fluff) == "RTX 4070"
+    assert one(spark, "processeur pro pro", text.without_fluff) == "cesseur pro pro"  # first occurrence, also inside a word
+    assert len(one(spark, "mot " * 60, text.without_fluff)) <= 120
+    got = one(spark, 'Écran 27" 144Hz IPS noir RTX 4070 Ti Core i5-12400F 32 Go DDR5', kinds.title_specs)
+    assert got == {"screen": '27"', "refreshRate": "144Hz", "panel": "IPS", "color": "Black", "gpu": "RTX 4070 Ti", "cpu": "Core i5-12400F", "ram": "32GB", "storage": "32GB", "memory": "DDR5"}
+    df = spark.createDataFrame([("Carte graphique RTX 4060", "http://x/gpu"), ("", None), (None, "http://x/ssd/1")], "t string, u string")
+    assert [r[0] for r in df.select(kinds.engine_category(F.col("t"), F.col("u"))).collect()] == ["gpu", "unknown", "storage"]
+
+
+@pytest.mark.parametrize("title, portable", [("PC portable HP", True), ("Asus TUF i5-12400 RTX 4060 16GB 15.6 pouces", True), ("Carte graphique TUF i5-12400 RTX 4060 16GB 27 pouces", False), ("Ryzen 5 5600 RTX 3060 16GB SSD 512GB", False), ("", False), (None, False)])
+def test_portables(spark, title, portable):
+    assert one(spark, title, kinds.is_portable) == portable
+
+
+def test_slugs_of_titles(spark):
+    df = spark.createDataFrame([("RTX 4060 8GB", "memory"), ("notebook", "memory"), ("xyz", None)], "t string, r string")
+    assert [r[0] for r in df.select(kinds.resolved_slug(F.lit(None).cast("string"), F.col("t"), F.col("r"))).collect()] == ["graphics-cards", "laptop", "pc-parts"]
+    assert [r[0] for r in df.select(kinds.cascade(F.col("t"))).collect()] == ["pc_part", "laptop", "pc_part"]
+    fits = spark.createDataFrame([("RTX 4060", "graphics-cards"), ("boitier RTX 4060", "graphics-cards"), ("laptop RTX 4060", "graphics-cards"), ("anything", "unlisted")], "t string, s string")
+    assert [r[0] for r in fits.select(kinds.fits_slug(F.col("t"), F.col("s"))).collect()] == [True, False, False, True]

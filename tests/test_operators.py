@@ -185,3 +185,8 @@ def test_search(spark):
 def test_edits_are_one_slip_away():
     e = search.edits("asus")
     assert {"sus", "saus", "adus"} <= e and "asus" not in e and all(len(w) >= 2 for w in e)
+
+
+@pytest.mark.parametrize("query, kind", [("gpu under 100k", "mixed"), ("under 100k", "price_range"), ("souris", "category"), ("asus", "brand"), ("16gb", "spec"), ("granix", "product")])
+def test_query_kind(query, kind):
+    assert search.query_kind(query)["type"] == kind
