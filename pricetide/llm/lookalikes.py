@@ -91,6 +91,13 @@ def _scripts(c: str) -> frozenset[str]:
     return frozenset(script(m) for m in _CLASS.get(c, (c,))) - {""}
 
 
+@lru_cache(maxsize=None)
+def _spread(c: str) -> str:
+    """A letter with marks as the letter and its marks, where the letter has doubles."""
+    parts = unicodedata.normalize("NFD", c)
+    return parts if len(parts) > 1 and parts[0] in _CLASS else c
+
+
 class Unifier:
     """Viterbi search over look-alike lattices; ``pairs`` holds the counts of letter pairs."""
 
@@ -106,6 +113,8 @@ class Unifier:
 
     def word(self, word: str) -> str:
         """The form of a word; it depends only on the classes of its letters, that is, on its look."""
+        if not word.isascii():
+            word = "".join(map(_spread, word))
         common: frozenset[str] | None = None
         for c in word:
             scripts = _scripts(c)

@@ -82,12 +82,17 @@ def _known(word: str) -> str:
     if len(word) < 5 or word in _KNOWN:
         return word
     near = [k for k in KNOWN_WORDS if len(k) >= 5 and osa(word, k, 1) <= 1]
-    return near[0] if len(near) == 1 else word
+    return near[0] if len({_meaning(k) for k in near}) == 1 else word
 
 
 _KNOWN = frozenset(KNOWN_WORDS)
 
 
+def _meaning(word: str) -> str:
+    """What a known word says: forms of one colour mean the same, and so do forms of one stem."""
+    return WORD_VALUES["colour"].get(word) or SWITCH_COLOURS.get(word) or word[:2]
+
+
 def attributes(folded: str) -> dict[str, str]:
     """The typed attributes that a folded text states."""
     found: dict[str, str] = {}

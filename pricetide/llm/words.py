@@ -13,7 +13,7 @@ LOOKALIKES = {
     "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "У": "Y", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W",
     "Ӏ": "I", "Ѵ": "V", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y",
     "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ӏ": "l",
-    "ѵ": "v", "ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï",
+    "ѵ": "v",
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N",
     "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ο": "o", "ν": "v",
@@ -46,7 +46,7 @@ def strip_accents(text: str) -> str:
 def _fold_word(word: str) -> str:
     if word.isascii():
         return word
-    mapped = word.translate(_FOLD)
+    mapped = unicodedata.normalize("NFD", word).translate(_FOLD)
     kept = [c for c in strip_accents(mapped) if c.isalpha()]
     return mapped if kept and all(ord(c) < 0x250 for c in kept) else word
 
