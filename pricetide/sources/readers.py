@@ -6,9 +6,11 @@ distributed scan.  Fetching pages is not part of this library.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +98,41 @@ def linked_data(pages_: DataFrame, html: str = "html") -> DataFrame:
     return rows.where(F.col("p")["@type"] == "Product").select(*[c for c in found.columns if c != "b"], "p.name", F.col("p.offers.price").try_cast("double").alias("price"), "p.url")
 
 
+MOST_DEPTH = 10
+
+
+def embedded_products(pages_: DataFrame, html: str = "html", depth: int = MOST_DEPTH) -> DataFrame:
+    """name, price of objects with both that lie anywhere, down to ``depth``, in the JSON a page carries in its scripts.
+
+    The nesting differs from page to page, so the objects are walked in Arrow
+    batches; scripts that are no JSON are left out.
+    """
+    keys = [c for c in pages_.columns if c != html]
+    block = F.explode(F.regexp_extract_all(html, F.lit(r"(?s)<script[^>]*(?:application/json|__NEXT_DATA__)[^>]*>(.*?)</script>"), F.lit(1)))
+
+    def walk(node: object, level: int) -> list[dict]:
+        if level > depth:
+            return []
+        if isinstance(node, list):
+            return [x for child in node for x in walk(child, level + 1)]
+        if not isinstance(node, dict):
+            return []
+        own = [{"name": str(node["name"]), "price": str(node["price"])}] if node.get("name") and isinstance(node.get("price"), (int, float, str)) else []
+        return own + [x for child in node.values() for x in walk(child, level + 1)]
+
+    def found(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            try:
+                out.append(walk(json.loads(t), 0))
+            except (TypeError, ValueError):
+                out.append([])
+        return pd.Series(out, dtype=object)
+
+    read = F.pandas_udf(found, "array<struct<name:string,price:string>>")
+    return pages_.select(*keys, block.alias("b")).select(*keys, F.inline(read("b"))).withColumn("price", F.col("price").try_cast("double"))
+
+
 def sitemap(spark: SparkSession, path: str, part: str = "/product/") -> DataFrame:
     """The distinct urls of sitemap files that contain ``part``."""
     xml = spark.read.text(path, wholetext=True)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pricetide.operators.offers import latest_offers
 
@@ -75,3 +77,35 @@ def price_changes(stream: DataFrame, checkpoint: str, log_path: str) -> Streamin
         joined.select("listing_id", F.col("before").alias("old_price"), "new_price", "changed_at").write.mode("overwrite").parquet(f"{log_path}/{n}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+_CHANGE = "listing_id long, old_price long, new_price long, changed_at timestamp"
+
+
+def stateful_changes(stream: DataFrame, late: str = "1 hour", forget_after_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """listing_id, old_price, new_price, changed_at of every change of price, with the last price of a listing as state.
+
+    The rows of a listing in one batch are taken in order of time.  The state of
+    a listing goes when the watermark has passed its last change by
+    ``forget_after_ms``; rows later than ``late`` may be left out.
+    """
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        out = []
+        rows = pd.concat(list(frames)).sort_values("price_updated_at", kind="stable")
+        for at, price in zip(rows["price_updated_at"], rows["current_price"]):
+            if last is None or price != last:
+                out.append((key[0], last, int(price), at))
+                last = int(price)
+        state.update((last,))
+        seen = int(rows["price_updated_at"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + forget_after_ms)
+        if out:
+            yield pd.DataFrame(out, columns=["listing_id", "old_price", "new_price", "changed_at"]).astype({"old_price": "Int64"})
+
+    told = stream.where("listing_id is not null and current_price is not null and price_updated_at is not null")
+    keyed = told.select("listing_id", "current_price", "price_updated_at").withWatermark("price_updated_at", late).groupBy("listing_id")
+    return keyed.applyInPandasWithState(step, _CHANGE, "last long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -105,3 +105,10 @@ def test_slugs_of_titles(spark):
     assert [r[0] for r in df.select(kinds.cascade(F.col("t"))).collect()] == ["pc_part", "laptop", "pc_part"]
     fits = spark.createDataFrame([("RTX 4060", "graphics-cards"), ("boitier RTX 4060", "graphics-cards"), ("laptop RTX 4060", "graphics-cards"), ("anything", "unlisted")], "t string, s string")
     assert [r[0] for r in fits.select(kinds.fits_slug(F.col("t"), F.col("s"))).collect()] == [True, False, False, True]
+
+
+def test_sql_names(spark):
+    from pricetide.functions import sql
+    assert len(sql.register(spark)) == len(sql.FUNCTIONS)
+    r = spark.sql("select pt_normalize('Écran  LG') a, pt_clean_price('96 000,00 DA') b, pt_savings(80L, 100L) c, pt_slug_of('RTX 4060') d, pt_similarity('abc', 'abc') e").first()
+    assert tuple(r) == ("ecran lg", 96000.0, 20, "graphics-cards", 1.0)

@@ -39,6 +39,10 @@ def test_pages(spark, tmp_path):
     cards = readers.cards(pages, r'<div class="card">(.*?)</div>', {"name": [r"<h2>(.*?)</h2>", r"<h3>(.*?)</h3>"], "price": [r'<span class="p">(.*?)</span>']})
     assert [(r["name"], r["price"]) for r in cards.collect()] == [("RTX & co", "1 000 DA"), ("SSD", None)]
     assert [(r["name"], r["price"]) for r in readers.linked_data(pages).collect()] == [("RTX", 12.5)]
+    data = '<script type="application/json">{"a": {"b": [{"name": "SSD", "price": 9}, {"name": "x"}]}, "name": "top", "price": "1.5"}</script><script type="application/json">{broken</script>'
+    deep = spark.createDataFrame([(1, data), (2, None)], "id int, html string")
+    assert sorted((r["name"], r["price"]) for r in readers.embedded_products(deep).collect()) == [("SSD", 9.0), ("top", 1.5)]
+    assert readers.embedded_products(deep, depth=1).count() == 1
     assert {(r["category"], r["url"]) for r in readers.categories_of(pages, {"gpu": ["graphique"], "ram": ["ram"]}).collect()} == {("gpu", "/c/gpu"), ("ram", "/c/ram")}
 
 
@@ -92,6 +96,9 @@ def test_streams(spark, tmp_path):
     changes.price_changes(changes.change_stream(spark, src), str(tmp_path / "c2"), str(tmp_path / "log")).awaitTermination()
     assert top == {0: [1, 2], 1: [2, 1]}
     assert {(r["listing_id"], r["old_price"], r["new_price"]) for r in spark.read.parquet(str(tmp_path / "log/0"), str(tmp_path / "log/1")).collect()} == {(1, None, 50), (2, None, 90), (2, 90, 10)}
+    st = changes.stateful_changes(changes.change_stream(spark, src, 1)).writeStream.format("memory").queryName("st").outputMode("append").trigger(availableNow=True).start()
+    st.awaitTermination()
+    assert {(r["listing_id"], r["old_price"], r["new_price"]) for r in spark.table("st").collect()} == {(1, None, 50), (2, None, 90), (2, 90, 10)}
     q = changes.rotation(changes.product_feed(changes.change_stream(spark, src), 2)).writeStream.format("memory").queryName("rot").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["n_changes"], r["best_saving"]) for r in spark.table("rot").collect()) == [(1, 10), (1, 90)]
