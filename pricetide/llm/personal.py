@@ -237,6 +237,8 @@ class PersonalFinder:
         for begin, end in anchors.get("name", ()):
             gap = re.compile(r"\s*[.:,]?\s*").match(text, end)
             cue = folded[begin:end]
+            if cue in _TITLES and text[begin].islower():
+                continue  # a misspelt "meme", not a courtesy title
             start = gap.end()
             if cue == "demandez" and re.compile(r"(?:m|mr|mme|mlle)\.?\s", re.I).match(text, start):
                 continue  # the longer cue with the courtesy title reads it
@@ -249,7 +251,7 @@ class PersonalFinder:
         return out
 
     def _plausible(self, cue: str, gap: str, name: str, after: str) -> bool:
-        words = [w for w in re.split(r"\s+", name)]
+        words = re.split(r"\s+", name)
         if any(folded_same_length(w) in _NO_NAME for w in words if not w.endswith(".")):
             return False
         if cue == "contact":
@@ -263,11 +265,13 @@ class PersonalFinder:
         return True
 
 
+# Courtesy titles, always written with a capital.
+_TITLES = frozenset(("mme", "mlle", "mr", "mrs", "ms", "monsieur", "madame"))
 # Frequent words that are part of no name.
 _NO_NAME = frozenset(
     "le la les un une des du de au aux et ou pour par sur dans avec sans plus tres the a an and or of to for with from by at on in is was it this that "
     "comme neuve neuf store informatique micro pc hardware gaming composants tech shop boutique service support client votre notre nous vous me mon ma mes "
-    "my your our his her their carte passeport piece commande order colis tracking".split()
+    "my your our his her their carte passeport piece commande order colis tracking ce cet cette ces tarif".split()
 )
 
 
