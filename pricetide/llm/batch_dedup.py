@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -122,13 +123,13 @@ def _blocks(fingerprint: Column) -> Column:
 
 
 def rotated(offers_: DataFrame) -> DataFrame:
-    """block_key, fingerprint, offer_id, first_id: one row per offer and block table.
+    """block_key, fingerprint, offer_id: one row per offer and block table.
 
     Offers of different shops or conditions never match, so both go into the
     key; a hot shop is spread over all its block values.  Texts stay behind.
     """
-    tables = offers_.select("offer_id", "fingerprint", "first_id", "shop", "condition", F.explode(_blocks(F.col("fingerprint"))).alias("block"))
-    return tables.select(F.xxhash64("block", "shop", "condition").alias("block_key"), "fingerprint", "offer_id", "first_id")
+    tables = offers_.select("offer_id", "fingerprint", "shop", "condition", F.explode(_blocks(F.col("fingerprint"))).alias("block"))
+    return tables.select(F.xxhash64("block", "shop", "condition").alias("block_key"), "fingerprint", "offer_id")
 
 
 def _compatible(a: Column, b: Column) -> Column:
@@ -150,12 +151,17 @@ class OfferStore:
     """All accepted offers: a table of their texts and the rotated block tables of their fingerprints.
 
     Both lie in the shared folder, one part per batch; accepting a batch reads
-    them and appends the part of its new offers.
+    them and appends the part of its new offers.  The block tables are bucketed
+    by their key when they are written, so looking up a batch never shuffles
+    what is stored.  ``buckets`` is fixed for a store; by default it is the
+    session's number of shuffle partitions.
     """
 
-    def __init__(self, spark: SparkSession, brands: list[str], lines: list[str], path: str | None = None):
+    def __init__(self, spark: SparkSession, brands: list[str], lines: list[str], path: str | None = None, buckets: int | None = None):
         self.spark, self.brands, self.lines = spark, brands, lines
         self.path = path or scratch_path(spark, "offers")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"offer_blocks_{uuid.uuid4().hex}"
         self.batches = 0
 
     def _known(self, part: str) -> DataFrame | None:
@@ -175,7 +181,7 @@ class OfferStore:
         rows = spark.read.parquet(rows_at)
         # one row per offer; copies of a hot offer are merged before anything is shuffled by key
         mine = rows.groupBy(*_OFFER_KEY, "fingerprint").agg(F.min("listing_id").alias("first_id"), F.max("sku").alias("sku"))
-        known, blocks = self._known("offers"), self._known("blocks")
+        known = self._known("offers")
         if known is None:
             fresh, repeated = mine, None
         else:
@@ -183,32 +189,38 @@ class OfferStore:
             repeated = rows.join(known.select(*_OFFER_KEY, F.col("first_id").alias("root")), _OFFER_KEY).select("listing_id", "root")
         fresh.write.parquet(fresh_at)
         fresh = spark.read.parquet(fresh_at)
-        roots = self._near_roots(fresh, known, blocks)
-        settled = fresh.join(roots, "offer_id", "left").withColumn("root", F.least("first_id", F.coalesce("root", "first_id")))
-        new = settled.select(*_OFFER_KEY, "fingerprint", "sku", F.col("root").alias("first_id"))
-        new.write.parquet(f"{self.path}/offers/{n}")
+        blocks = rotated(fresh).repartition(self.buckets, "block_key").write.bucketBy(self.buckets, "block_key").sortBy("block_key")
+        blocks.option("path", f"{self.path}/blocks/{n}").saveAsTable(f"{self.name}_{n}")
+        roots = self._near_roots(fresh, known)
+        settled = fresh.join(roots, "offer_id", "left").withColumn("first_id", F.least("first_id", F.coalesce("root", "first_id")))
+        settled.select(*_OFFER_KEY, "sku", "first_id").write.parquet(f"{self.path}/offers/{n}")
         new = spark.read.parquet(f"{self.path}/offers/{n}")
-        rotated(new).write.parquet(f"{self.path}/blocks/{n}")
         linked = rows.join(new.select(*_OFFER_KEY, F.col("first_id").alias("root")), _OFFER_KEY).select("listing_id", "root")
         linked = linked if repeated is None else linked.unionByName(repeated)
         linked.where("listing_id > root").select(F.col("root").alias("first_listing_id"), "listing_id").distinct().write.parquet(found_at)
         self.batches += 1
         return spark.read.parquet(found_at)
 
-    def _near_roots(self, fresh: DataFrame, known: DataFrame | None, blocks: DataFrame | None) -> DataFrame:
-        """offer_id, root: the earliest offer that each new offer agrees with though it is worded otherwise."""
-        tables = rotated(fresh)
-        pool = tables if blocks is None else blocks.unionByName(tables)
-        other = pool.select("block_key", F.col("fingerprint").alias("o_fingerprint"), F.col("offer_id").alias("o_id"), F.col("first_id").alias("o_first"))
+    def _near_roots(self, fresh: DataFrame, known: DataFrame | None) -> DataFrame:
+        """offer_id, root: the earliest offer that each new offer agrees with though it is worded otherwise.
+
+        The batch's block table meets that of every batch up to its own; equal
+        buckets lie in equal partitions on both sides.
+        """
+        mine = self.spark.table(f"{self.name}_{self.batches}")
         near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("o_fingerprint"))) <= MOST_BITS
-        met = tables.join(other, "block_key").where(near & (F.col("offer_id") != F.col("o_id"))).select("offer_id", "o_id", "o_first").distinct()
-        texts = fresh.select("offer_id", "shop", "condition", "offer_key", "sku")
+        met = None
+        for i in range(self.batches + 1):
+            other = self.spark.table(f"{self.name}_{i}").select("block_key", F.col("fingerprint").alias("o_fingerprint"), F.col("offer_id").alias("o_id"))
+            part = mine.join(other, "block_key").where(near & (F.col("offer_id") != F.col("o_id"))).select("offer_id", "o_id")
+            met = part if met is None else met.unionByName(part)
+        texts = fresh.select("offer_id", "shop", "condition", "offer_key", "sku", "first_id")
         theirs = texts if known is None else texts.unionByName(known.select(*texts.columns))
         theirs = theirs.select(F.col("offer_id").alias("o_id"), *(F.col(c).alias(f"o_{c}") for c in texts.columns[1:]))
-        pairs = met.join(texts, "offer_id").join(theirs, "o_id")
+        pairs = met.distinct().join(texts, "offer_id").join(theirs, "o_id")
         same_place = (F.col("shop") == F.col("o_shop")) & (F.col("condition") == F.col("o_condition"))
         verified = F.coalesce(F.col("sku") == F.col("o_sku"), _compatible(F.col("offer_key"), F.col("o_offer_key")))
-        return pairs.where(same_place & verified).groupBy("offer_id").agg(F.min("o_first").alias("root"))
+        return pairs.where(same_place & verified).groupBy("offer_id").agg(F.min("o_first_id").alias("root"))
 
 
 def repeats(listings: DataFrame, ref_values: DataFrame, history_batch: int = 0) -> DataFrame:
