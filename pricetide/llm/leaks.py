@@ -1,12 +1,14 @@
 """Evaluation texts that leaked into a corpus.
 
 Items and documents are reduced to the same stream of lower-case letters and
-digits, without mark-up, accents, punctuation or blanks.  The patterns are the
-stretches of ``LENGTH`` letters that begin at each word of each item.  Wu-Manber
+digits, without mark-up, accents, punctuation or blanks.  The patterns begin at
+each word of each item and are ``LENGTH`` letters long, or as long as the run of
+words that every accepted stretch with single words replaced holds unbroken,
+where that is shorter.  Wu-Manber
 search slides over a document: a table by block of ``BLOCK`` letters tells how
 far the search may jump, the patterns that end in a block with jump zero stand
-in its bucket, and direct comparison confirms one.  Where an item collects
-enough confirmed stretches, its words are aligned with the document's, and the
+in its bucket, and direct comparison confirms one.  The words of every item
+with a confirmed pattern are aligned with the document's, and the
 longest continuous stretch decides: it may be broken only by single words, and
 must hold at least a third of the item's words.
 
@@ -15,12 +17,14 @@ task; a larger set is searched in shards of ``MOST_ITEMS`` items, one pass each.
 Documents are never shuffled.
 
 Defined results: null, empty and blank documents or items leak nothing; an item
-shorter than a pattern is searched as a whole; repeated rows count once.
+shorter than a pattern is searched as a whole; one of which a third is shorter must
+share a whole pattern of ``LENGTH`` letters; repeated rows count once.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from bisect import bisect_left
@@ -57,20 +61,21 @@ def words_of(text: str) -> list[str]:
 
 
 class WuManber:
-    """Multi-pattern search for patterns of one length."""
+    """Multi-pattern search for patterns of at least one length, by their first letters."""
 
     def __init__(self, patterns: dict[str, list[tuple[int, int]]], length: int = LENGTH, block: int = BLOCK):
         self.length, self.block, self.patterns = length, block, patterns
         self.far = length - block + 1
         self.shift: dict[str, int] = {}
-        self.bucket: dict[str, set[str]] = {}
-        for p in patterns:
+        self.bucket: dict[str, dict[str, list[str]]] = {}
+        for whole in patterns:
+            p = whole[:length]
             for end in range(block, length + 1):
                 b = p[end - block:end]
                 jump = length - end
                 if jump < self.shift.get(b, self.far):
                     self.shift[b] = jump
-            self.bucket.setdefault(p[-block:], set()).add(p)
+            self.bucket.setdefault(p[-block:], {}).setdefault(p, []).append(whole)
 
     def find(self, text: str) -> Iterator[tuple[int, str]]:
         """Begin and pattern of each occurrence."""
@@ -83,9 +88,9 @@ class WuManber:
                 end += jump
                 continue
             begin = end - length
-            candidate = text[begin:end]
-            if candidate in bucket[tail]:
-                yield begin, candidate
+            for candidate in bucket[tail].get(text[begin:end], ()):
+                if text.startswith(candidate, begin):
+                    yield begin, candidate
             end += 1
 
 
@@ -103,6 +108,35 @@ class Item:
                 self.token.append(i)
         self.n_tokens = len(tokens)
         self.least = max(1, -(-self.n_tokens * LEAST_SHARE // 1))
+        self.run = self._run()
+
+    def _run(self) -> int:
+        """Words in a row that a stretch long enough to be a leak must hold unbroken when only single words are replaced."""
+        fewest, end = len(self.words), 0
+        for begin in range(len(self.words)):
+            while end < len(self.words) and self.token[end] - self.token[begin] + 1 < self.least:
+                end += 1
+            if end == len(self.words):
+                break
+            fewest = min(fewest, end - begin + 1)
+        # of m words that agree but for k, the longest of the k + 1 runs between them is at least the mean
+        agreed = ((m, math.ceil(LEAST_AGREEING * m)) for m in range(fewest, len(self.words) + 1))
+        return min((-(-a // (m - a + 1)) for m, a in agreed), default=0)
+
+    def may_hold(self, doc: list[str], i: int, j: int) -> bool:
+        """Whether a stretch through word ``i`` here and ``j`` there can be long enough, whatever share of it agrees."""
+        ends = []
+        for way in (1, -1):
+            seen, open_ = {(i, j)}, [(i, j)]
+            while open_:
+                x, y = open_.pop()
+                for a in range(x + way, x + way * (MOST_GAP + 2), way):
+                    for b in range(y + way, y + way * (MOST_GAP + 3), way):
+                        if 0 <= a < len(self.words) and 0 <= b < len(doc) and self.words[a] == doc[b] and (a, b) not in seen:
+                            seen.add((a, b))
+                            open_.append((a, b))
+            ends.append(max(seen)[0] if way == 1 else min(seen)[0])
+        return self.token[ends[0]] - self.token[ends[1]] + 1 >= self.least
 
     def longest_stretch(self, doc: list[str]) -> int:
         """Tokens of the longest stretch of the item that stands in ``doc``, broken by single words at most."""
@@ -127,16 +161,22 @@ class LeakFinder:
     def __init__(self, items: list[tuple[int, str]]):
         self.items = {i: Item(i, t) for i, t in items}
         patterns: dict[str, list[tuple[int, int]]] = {}
+        runs: dict[str, list[tuple[int, int]]] = {}
         self.short: list[tuple[int, str]] = []
         for item in self.items.values():
             stream, at = "".join(item.words), 0
             if stream and len(stream) < LENGTH:
                 self.short.append((item.item_id, f" {' '.join(item.words)} "))
             for i, w in enumerate(item.words):
-                if at + LENGTH <= len(stream):
+                run = sum(map(len, item.words[i:i + item.run]))
+                if run < LENGTH and i + item.run <= len(item.words) and len(stream) * LEAST_SHARE >= LENGTH:
+                    runs.setdefault(stream[at:at + run], []).append((item.item_id, i))
+                elif at + LENGTH <= len(stream):
                     patterns.setdefault(stream[at:at + LENGTH], []).append((item.item_id, i))
                 at += len(w)
         self.search = WuManber(patterns)
+        least = min(map(len, runs), default=LENGTH)
+        self.search_runs = WuManber(runs, least, min(BLOCK, least))
 
     def leaks(self, text: str | None) -> list[int]:
         """The items of which at least a third stands in ``text``."""
@@ -144,27 +184,25 @@ class LeakFinder:
             return []
         words = words_of(text)
         stream = "".join(words)
-        seeds: dict[int, set[int]] = {}
-        places: dict[int, list[int]] = {}
-        for begin, pattern in self.search.find(stream):
-            for item_id, i in self.search.patterns[pattern]:
-                seeds.setdefault(item_id, set()).add(i)
-                places.setdefault(item_id, []).append(begin)
+        at, starts = 0, []
+        for w in words:
+            starts.append(at)
+            at += len(w)
+        hits: dict[int, set[tuple[int, int]]] = {}
+        for search in (self.search, self.search_runs):
+            for begin, pattern in search.find(stream):
+                for item_id, i in search.patterns[pattern]:
+                    hits.setdefault(item_id, set()).add((i, begin))
         found = []
         if self.short:
             spaced = f" {' '.join(words)} "
             found = [i for i, s in self.short if s in spaced]
-        if seeds:
-            starts, at = [], 0
-            for w in words:
-                starts.append(at)
-                at += len(w)
-        for item_id, hit in seeds.items():
+        for item_id, hit in hits.items():
             item = self.items[item_id]
-            # each differing word spoils the few stretches over it; less than a fifth left can't be a third of the item
-            if len(hit) < 0.2 * item.least:
+            # one pattern is enough where the words around it go on agreeing; many are aligned unasked
+            if len({i for i, _ in hit}) < 0.2 * item.least and not any(item.may_hold(words, i, bisect_left(starts, begin)) for i, begin in hit):
                 continue
-            low, high = min(places[item_id]), max(places[item_id]) + LENGTH
+            low, high = min(b for _, b in hit), max(b for _, b in hit) + LENGTH
             room = len(item.words)
             from_, to = bisect_left(starts, low), bisect_left(starts, high)
             region = words[max(0, from_ - room):to + room]

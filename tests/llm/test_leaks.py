@@ -43,6 +43,22 @@ def test_every_word_changed_now_and_then_is_no_leak(spark):
     assert find(spark, [(1, " ".join(w if i % 3 else "changed" for i, w in enumerate(ITEMS[0][1].split())))]) == set()
 
 
+def test_every_stretch_that_the_alignment_accepts_is_found():
+    """Every sixth word replaced: runs of five short words give few patterns of 20 letters, or none."""
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.choice((2, 3, 4, 6)))) for _ in range(90)]
+    finder = leaks.LeakFinder([(1, " ".join(words))])
+    accepted = 0
+    for share in (0.35, 0.4, 0.5):
+        n = int(len(words) * share)
+        for begin in range(0, len(words) - n, 5):
+            doc = [w if i % 6 != 5 else "changed" for i, w in enumerate(words[begin:begin + n])]
+            if finder.items[1].longest_stretch(doc) >= finder.items[1].least:
+                accepted += 1
+                assert finder.leaks(f"{FILL} {' '.join(doc)} {FILL}") == [1]
+    assert accepted >= 20
+
+
 def test_empty_and_long(spark):
     assert find(spark, []) == set() and find(spark, [(1, FILL)], [(4, "")]) == set()
     assert find(spark, [(1, FILL * 500 + " " + ITEMS[1][1])]) == {(1, 2)}
