@@ -6,8 +6,11 @@ accepted offers stand in a store of rotated block tables: the word is cut into
 five blocks, and for each of the ten pairs of blocks one table holds the
 fingerprint keyed by those two blocks.  Two fingerprints that differ in at most
 three bits agree in at least two whole blocks, so an exact look-up of the ten
-keys finds every one of them.  Candidates are then verified by Hamming distance
-and by what their texts state, and fingerprints of new offers are appended.
+keys finds every one of them.  A missing attribute or brand changes more bits
+than that (seven to eight on average), so the store also holds each offer under
+keys that all wordings agreeing with it share: the model, or the first words of a
+name without one.  Candidates are then verified by Hamming distance, where
+a block made them such, and by what their texts state; new offers are appended.
 
 Defined results: a null or unreadable name is compared by its words; a null
 condition is a condition of its own; a url without a host is the shop "";
@@ -122,14 +125,28 @@ def _blocks(fingerprint: Column) -> Column:
     return F.array(*[F.shiftleft(block(i), BLOCKS[j][1]).bitwiseOR(block(j)) + F.lit(n << 32) for n, (i, j) in enumerate(TABLES)])
 
 
+def _shared_words(offer_key: Column) -> Column:
+    """Keys of which two wordings that ``_compatible`` accepts have at least one in common.
+
+    Two wordings with a model share it.  Two sets of n words or more that overlap by ``LEAST_OVERLAP`` share at least
+    that part of n, so that in any fixed order one of the first words of both is shared; long words come first, as rarer ones.
+    """
+    words = F.split(offer_key, " ")
+    names = F.transform(F.array_distinct(F.slice(words, 2, F.size(words))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
+    least = F.ceil(F.round((F.size(names) + 1) * F.lit(LEAST_OVERLAP), 6)).cast("int")
+    first = F.transform(F.slice(F.array_sort(names), 1, F.size(names) + 2 - least), lambda x: F.concat(F.lit("words "), x["w"]))
+    return F.when(offer_key.startswith("item "), F.array(F.concat(F.lit("item "), F.get(words, F.lit(3))))).otherwise(first)
+
+
 def rotated(offers_: DataFrame) -> DataFrame:
-    """block_key, fingerprint, offer_id: one row per offer and block table.
+    """block_key, fingerprint, offer_id: one row per offer and block table, and one without a fingerprint per shared word.
 
     Offers of different shops or conditions never match, so both go into the
     key; a hot shop is spread over all its block values.  Texts stay behind.
     """
     tables = offers_.select("offer_id", "fingerprint", "shop", "condition", F.explode(_blocks(F.col("fingerprint"))).alias("block"))
-    return tables.select(F.xxhash64("block", "shop", "condition").alias("block_key"), "fingerprint", "offer_id")
+    worded = offers_.select("offer_id", F.lit(None).cast("long").alias("fingerprint"), "shop", "condition", F.explode(_shared_words(F.col("offer_key"))).alias("block"))
+    return tables.unionByName(worded.withColumn("block", F.xxhash64("block"))).select(F.xxhash64("block", "shop", "condition").alias("block_key"), "fingerprint", "offer_id")
 
 
 def _compatible(a: Column, b: Column) -> Column:
@@ -193,7 +210,7 @@ class OfferStore:
         blocks.option("path", f"{self.path}/blocks/{n}").saveAsTable(f"{self.name}_{n}")
         roots = self._near_roots(fresh, known)
         settled = fresh.join(roots, "offer_id", "left").withColumn("first_id", F.least("first_id", F.coalesce("root", "first_id")))
-        settled.select(*_OFFER_KEY, "sku", "first_id").write.parquet(f"{self.path}/offers/{n}")
+        settled.select(*_OFFER_KEY, "sku", "first_id", F.col("root").isNotNull().alias("linked")).write.parquet(f"{self.path}/offers/{n}")
         new = spark.read.parquet(f"{self.path}/offers/{n}")
         linked = rows.join(new.select(*_OFFER_KEY, F.col("first_id").alias("root")), _OFFER_KEY).select("listing_id", "root")
         linked = linked if repeated is None else linked.unionByName(repeated)
@@ -208,19 +225,26 @@ class OfferStore:
         buckets lie in equal partitions on both sides.
         """
         mine = self.spark.table(f"{self.name}_{self.batches}")
-        near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("o_fingerprint"))) <= MOST_BITS
+        near = F.coalesce(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("o_fingerprint"))) <= MOST_BITS, F.lit(True))
         met = None
         for i in range(self.batches + 1):
             other = self.spark.table(f"{self.name}_{i}").select("block_key", F.col("fingerprint").alias("o_fingerprint"), F.col("offer_id").alias("o_id"))
             part = mine.join(other, "block_key").where(near & (F.col("offer_id") != F.col("o_id"))).select("offer_id", "o_id")
             met = part if met is None else met.unionByName(part)
-        texts = fresh.select("offer_id", "shop", "condition", "offer_key", "sku", "first_id")
+        texts = fresh.select("offer_id", "shop", "condition", "offer_key", "sku", "first_id", F.lit(False).alias("linked"))
         theirs = texts if known is None else texts.unionByName(known.select(*texts.columns))
         theirs = theirs.select(F.col("offer_id").alias("o_id"), *(F.col(c).alias(f"o_{c}") for c in texts.columns[1:]))
         pairs = met.distinct().join(texts, "offer_id").join(theirs, "o_id")
         same_place = (F.col("shop") == F.col("o_shop")) & (F.col("condition") == F.col("o_condition"))
-        verified = F.coalesce(F.col("sku") == F.col("o_sku"), _compatible(F.col("offer_key"), F.col("o_offer_key")))
-        return pairs.where(same_place & verified).groupBy("offer_id").agg(F.min("o_first_id").alias("root"))
+        same_sku = F.col("sku") == F.col("o_sku")
+        # an offer linked to another by its text says less than that one, so texts aren't linked through it
+        verified = F.coalesce(same_sku, _compatible(F.col("offer_key"), F.col("o_offer_key")) & ~F.col("o_linked"))
+        stated = F.array_distinct(F.flatten(F.collect_set(F.filter(F.split("o_offer_key", " "), lambda x: x.contains("=")))))
+        agreed = pairs.where(same_place & verified).groupBy("offer_id").agg(F.min(F.when(same_sku, F.col("o_first_id"))).alias("by_sku"), F.min("o_first_id").alias("earliest"), stated.alias("stated"))
+        # agreeing with offers that contradict each other tells none of them
+        kinds = F.array_distinct(F.transform("stated", lambda x: F.substring_index(x, "=", 1)))
+        root = F.coalesce("by_sku", F.when(F.size(kinds) == F.size("stated"), F.col("earliest")))
+        return agreed.select("offer_id", root.alias("root")).where("root is not null")
 
 
 def repeats(listings: DataFrame, ref_values: DataFrame, history_batch: int = 0) -> DataFrame:

@@ -33,6 +33,16 @@ def test_repeats(spark):
     assert run(spark, rows) == {(1, 20), (21, 30), (21, 31), (2, 32)}
 
 
+def test_repeats_that_say_less_or_are_not_read(spark):
+    words = "Lot tres rare sans reference connue du fabricant avec boite origine"
+    rows = BASE + [
+        row(9, 0, words), row(20, 1, "Velmora Granix 1001 16GB"), row(21, 1, "Granix 1002 16GB 3200MHz"),  # no attribute, no brand
+        row(22, 1, words + " neuve"), row(23, 1, "Velmora Granix 1003 32GB"), row(24, 1, "Velmora Granix 1004 16GB", cond="used"), row(25, 1, "Lot tres rare et autres choses du fabricant avec boite"),
+    ]
+    rows += [row(10, 0, "Velmora Granix 1005 32GB 3200MHz"), row(26, 1, "Velmora Granix 1005 3200MHz"), row(27, 2, "Velmora Granix 1001 16GB 3600MHz")]  # two agree; agrees with 20 but not with 1
+    assert run(spark, rows) == {(1, 20), (2, 21), (9, 22)}
+
+
 def test_odd_rows(spark):
     rows = BASE + [row(40, 1, None, None, None, None), row(41, 1, "", "", "", ""), row(42, 1, "x " * 50_000), row(43, 2, "x " * 50_000), row(43, 2, "x " * 50_000), row(44, 2, None, None, None, None), (45, None, "n", None, None, None)]
     assert run(spark, rows) == {(42, 43), (40, 44)}
