@@ -30,6 +30,22 @@ def title_edges(items: DataFrame, least: float = 0.65) -> DataFrame:
     return near.unionByName(copies).distinct()
 
 
+def chip_edges(items: DataFrame, chips: tuple[str, ...] = ("gpu", "cpu")) -> DataFrame:
+    """lo, hi of items that are not of one brand and category but state the same chip.
+
+    ``items`` has pos, brand, category and the columns ``chips``.  Every pair is named: the greedy pass may take the
+    first item of a chip from the others, which are then still linked to each other.
+    """
+    result = None
+    for chip in chips:
+        stated = items.where((F.col(chip) != "") & F.col("pos").isNotNull()).select(F.col(chip).alias("chip"), "pos", "brand", "category")
+        later = stated.select("chip", F.col("pos").alias("hi"), F.col("brand").alias("b"), F.col("category").alias("c"))
+        one_kind = F.coalesce((F.col("brand") == F.col("b")) & (F.col("brand") != ""), F.lit(False)) & F.col("category").eqNullSafe(F.col("c"))
+        pairs = stated.join(later, "chip").where((F.col("pos") < F.col("hi")) & ~one_kind).select(F.col("pos").alias("lo"), "hi")
+        result = pairs if result is None else result.unionByName(pairs)
+    return result.distinct()
+
+
 def greedy_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """pos, seed of each node, as a greedy pass in order of pos would give.
 

@@ -263,9 +263,10 @@ def search_highlights(spark, d):
 
 
 def j13_greedy_clusters(spark, d):
-    """Products of like names under one brand and category, grouped as a greedy pass over them would."""
-    p = read(spark, d, "clean_products").select(F.col("product_id").alias("pos"), F.lower("canonical_name").alias("title"), "brand", "category").where("title is not null")
-    return clusters.greedy_clusters(p, clusters.title_edges(p))
+    """Products of like names under one brand and category, or of one gpu or cpu, grouped as a greedy pass over them would."""
+    chips = [F.try_element_at("specs", F.lit(c)).alias(c) for c in ("gpu", "cpu")]
+    p = read(spark, d, "clean_products").select(F.col("product_id").alias("pos"), F.lower("canonical_name").alias("title"), "brand", "category", *chips).where("title is not null")
+    return clusters.greedy_clusters(p, clusters.title_edges(p).unionByName(clusters.chip_edges(p)))
 
 
 for f in (x_catalog_record, search_ranked, search_corrections, search_suggestions, search_highlights, j13_greedy_clusters):

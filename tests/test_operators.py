@@ -75,6 +75,17 @@ def test_title_edges_find_every_like_pair(spark):
     assert (0, 5) in found
 
 
+def test_j13_links_equal_chips(spark, tmp_path):
+    """Over brands, categories and nulls; 4 and 5 stay together though 3 of the same chip is taken by 1."""
+    from pricetide.plans.analytics_queries import j13_greedy_clusters
+    rows = [
+        (1, "alpha card one", "a", "x", {"gpu": "g1"}), (2, "quite other name", None, None, {"gpu": "g1"}), (3, "third", "b", "x", {"gpu": "g1", "cpu": "c1"}), (4, "fourth item", "c", "y", {"cpu": "c1"}),
+        (5, "plain 5", "d", None, {"cpu": "c1"}), (6, "zzzzzzzz", "a", "x", {"gpu": "g1"}), (7, "no specs", None, None, None), (8, "empty chip", None, None, {"gpu": ""}),
+    ]
+    spark.createDataFrame(rows, "product_id long, canonical_name string, brand string, category string, specs map<string,string>").write.parquet(f"{tmp_path}/clean_products.parquet")
+    assert {tuple(r) for r in j13_greedy_clusters(spark, str(tmp_path)).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7), (8, 8)}
+
+
 def test_merges(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "pos long, name string")
     new = spark.createDataFrame([(5, "B"), (6, "c"), (7, "C"), (8, None)], "pos long, name string")
