@@ -1,17 +1,17 @@
 """Encoding of a whole corpus with a public byte-level BPE vocabulary.
 
-The merges are compiled into a deterministic tokenization automaton.  Its states
-are the tokens (the last one emitted) and its arcs are labelled with tokens.
-Read in order, each merge (u, v) -> w adds a gadget: it takes the v arc away
-from every state reached by u and sends w instead.  A state keeps the arc v if
-no gadget took it: whether one did follows from the right edge of u's merge tree
-and the left edge of v's, walked from the latest merge down.  States and arcs
-are therefore made when first asked for and kept in a transition table; the full
-table of 50,000 states is never spelled out.
-
-A word of the public pre-splitting pattern is encoded by a run of this automaton
-over its bytes: for each end position exactly one token can be the last.
-Decoding emits the bytes of the arc labels.
+The merges are compiled, in their order, into a deterministic tokenization
+automaton over tokens.  It begins with one state that has every byte as a loop;
+each merge (u, v) -> w adds a gadget: a new state that the arcs u lead to from
+now on, a copy of the old one without the arc v, while arcs w lead to where v
+led.  A state thus is a pointer to the one it was copied from and the arc it
+lacks, so 50,000 gadgets are as many small entries and no arc is written twice.
+
+A word of the public pre-splitting pattern is read byte by byte through a table
+of transitions: its rows are sets of (state, prefix of the next arc's label),
+made by subset construction when first met and kept.  Of every prefix of a word
+exactly one token can be the last, and the table names it; the run is read off
+backwards.  Decoding emits the bytes of the arc labels.
 
 Defined results: null and empty texts give an empty list; strings of special
 tokens are ordinary text; every row of the input has a row.
@@ -33,6 +33,8 @@ TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose encoding a task keeps.
 MOST_WORDS = 200_000
+#: Transitions of the byte table that a task keeps; beyond them it is begun anew.
+MOST_ROWS = 1_000_000
 
 # Fixed value: the pre-splitting pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -66,67 +68,123 @@ class Vocabulary:
             self.merged.setdefault((a, b), (rank, w))
             self.parts.setdefault(w, (a, b))
         self.rank = {w: self.merged[p][0] for w, p in self.parts.items()}
-        self.longest = max(map(len, self.ids))
 
 
 class Automaton:
-    """The tokenization automaton of a vocabulary, with its transition table filled on demand."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    """The tokenization automaton of a vocabulary.
+
+    ``owner``, ``born`` and ``base`` are the compiled gadgets: state ``s`` is
+    reached by token ``owner[s]``, lacks the arcs that ``cut[owner[s]]`` names
+    up to rank ``born[s]``, and otherwise those of ``base[owner[s]]``, the state
+    which the right part of the token had when the token was made.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, most_rows: int = MOST_ROWS):
+        self.v, self.most_rows = vocabulary, most_rows
+        self.state_of: dict[int, int] = {}
+        self.owner, self.born, self.base = [-1], [-1], {}
+        self.cut: dict[int, dict[int, int]] = {}
+        for (u, v), (rank, w) in vocabulary.merged.items():
+            self._gadget(rank, u, v, w)
+        self._spell()
         self.arcs: dict[tuple[int, int], bool] = {}
+        self._clear()
+
+    def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
+        """Merge (u, v) -> w: the arcs u lead to a new state without the arc v, and w goes where v went."""
+        before = self.state_of.get(u, 0)
+        self.owner.append(u)
+        self.born.append(rank)
+        self.base.setdefault(u, before)
+        self.cut.setdefault(u, {})[v] = rank
+        self.state_of[u] = len(self.owner) - 1
+        # "uu" goes where u went before the gadget: three in a row are merged from the left
+        made = before if u == v else self.state_of.get(v, 0)
+        if w not in self.state_of:
+            self.state_of[w] = self.base[w] = made
+
+    def _spell(self) -> None:
+        """The arcs spelled out in bytes: a table of prefixes, and the token that a prefix is."""
+        self.goto: dict[int, int] = {}
+        self.token = [-1]
+        for token, label in self.v.bytes.items():
+            node = 0
+            for byte in label:
+                key = node << 8 | byte
+                node = self.goto.get(key, -1)
+                if node < 0:
+                    node = self.goto[key] = len(self.token)
+                    self.token.append(-1)
+            self.token[node] = token
+
+    def _clear(self) -> None:
+        self.rows: dict[tuple, int] = {((0, 0),): 0}
+        self.places: list[tuple] = [((0, 0),)]
+        self.delta: dict[int, tuple[int, int]] = {}
+
+    def _cut_at(self, state: int, label: int) -> int:
+        """The rank of the gadget that took the arc ``label`` from ``state``, or -1."""
+        while state:
+            u = self.owner[state]
+            rank = self.cut[u].get(label, -1)
+            if 0 <= rank <= self.born[state]:
+                return rank
+            state = self.base[u]
+        return -1
 
     def arc(self, state: int, label: int) -> bool:
-        """Whether the state reached by token ``state`` still has the arc ``label``."""
+        """Whether ``state`` has the arc ``label``: it had those of the label's left parts when they were merged, and kept it."""
         key = (state, label)
         kept = self.arcs.get(key)
         if kept is None:
             if len(self.arcs) > 2_000_000:
                 self.arcs.clear()
-            kept = self.arcs[key] = self._compile(state, label)
+            kept, part, until = True, label, len(self.v.merged)
+            while kept and part is not None:
+                kept = not 0 <= self._cut_at(state, part) <= until
+                until = self.v.rank.get(part, -1)
+                part = self.v.parts[part][0] if part in self.v.parts else None
+            self.arcs[key] = kept
         return kept
 
-    def _compile(self, u: int, v: int) -> bool:
-        # walk both merge trees back in time; a merge across the border that is earlier
-        # than the merges which hid the border is a gadget that took the arc away
-        rank, parts, merged = self.v.rank, self.v.parts, self.v.merged
-        hidden_u = hidden_v = 1 << 60  # ranks of the merges that used up u and v
-        while True:
-            hit = merged.get((u, v))
-            # u must still stand when the merge happens, and so must v; on equal rank the left one goes first
-            if hit is not None and hit[0] < hidden_u and hit[0] < hidden_v:
-                return False
-            if hit is not None and hit[0] == hidden_v and hit[0] < hidden_u:
-                return False
-            ru, rv = rank.get(u, -1), rank.get(v, -1)
-            if ru < 0 and rv < 0:
-                return True
-            # undo the later of the two; of one and the same merge the right one happened last
-            if rv >= ru:
-                hidden_v = rv
-                v = parts[v][0]
-            else:
-                hidden_u = ru
-                u = parts[u][1]
+    def step(self, row: int, byte: int) -> tuple[int, int]:
+        """The row after a byte and the token that ends there, -1 for none.
+
+        A row of the byte table is the set of places that a word so far may be
+        at: (state before the open token, prefix of that token).
+        """
+        after, ended = [], -1
+        for state, node in self.places[row]:
+            node = self.goto.get(node << 8 | byte, -1)
+            if node < 0:
+                continue
+            token = self.token[node]
+            if token >= 0 and self.arc(state, token):
+                ended = token
+            after.append((state, node))
+        if ended >= 0:
+            after.append((self.state_of.get(ended, 0), 0))
+        key = tuple(after)
+        found = self.rows.get(key)
+        if found is None:
+            found = self.rows[key] = len(self.places)
+            self.places.append(key)
+        self.delta[row << 8 | byte] = found, ended
+        return found, ended
 
     def word(self, word: bytes) -> list[int]:
         """The labels on the one run of the automaton that reads ``word``."""
-        ids, longest = self.v.ids, self.v.longest
-        whole = ids.get(word)
-        if whole is not None:
-            return [whole]
-        n = len(word)
-        last, begin = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(word[start:end])
-                if token is not None and (start == 0 or (last[start] >= 0 and self.arc(last[start], token))):
-                    last[end], begin[end] = token, start
-                    break
-        out, end = [], n
+        if len(self.delta) > self.most_rows:
+            self._clear()
+        row, last, known = 0, [], self.delta
+        for byte in word:
+            row, ended = known.get(row << 8 | byte) or self.step(row, byte)
+            last.append(ended)
+        out, end, label = [], len(word), self.v.bytes
         while end:
-            out.append(last[end])
-            end = begin[end]
+            token = last[end - 1]
+            out.append(token)
+            end -= len(label[token])
         return out[::-1]
 
 

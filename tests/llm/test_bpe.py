@@ -54,3 +54,22 @@ def test_odd_rows(spark):
     assert df.dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
     assert sorted([(r["doc_id"] or 0, r["ids"]) for r in df.collect()]) == [(0, [65]), (1, []), (2, []), (3, [64]), (3, [64])]
     assert bpe.encoded(docs.limit(0)).count() == 0
+
+
+def test_rows_come_from_the_gadgets():
+    """Without the merges' gadgets every token arc stays, and the run is another one."""
+    e = bpe.encoder(PATH)
+    v = e.automaton.v
+    assert len(e.automaton.owner) == len(v.merged) + 1
+    bare = bpe.Automaton(v)
+    bare.cut = {u: {} for u in bare.cut}
+    words = [w.encode() for w in ("hello", "unbelievable", "écran")]
+    assert [bare.word(w) for w in words] != [e.automaton.word(w) for w in words]
+
+
+def test_a_full_byte_table_is_begun_anew():
+    v = bpe.encoder(PATH).automaton.v
+    small, large = bpe.Automaton(v, most_rows=20), bpe.Automaton(v)
+    words = [f"word{i} unusual".encode() for i in range(50)]
+    assert [small.word(w) for w in words] == [large.word(w) for w in words]
+    assert len(small.delta) < 60 < len(large.delta)
