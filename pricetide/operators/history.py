@@ -1,19 +1,21 @@
 """History of changing attributes: every version of an entity with its period of validity.
 
-Observations are unit intervals ordered by time.  Neighbouring runs are merged
-pairwise: the right run takes over what the left one last knew, and intervals
-of equal payload become one.  Within a task the rounds run over whole column
-batches and double their reach each time, so a batch of n observations takes
-log2(n) rounds; only the last state of an entity is carried to the next batch.
-
-An entity with more observations than ``CHUNK_ROWS`` is cut into spans of time
-that go to different tasks; the runs of its spans are then merged through their
-first and last states, so no task holds a hot entity whole and none is dropped.
+Every observation is a unit interval.  In logarithmic rounds neighbouring runs
+of intervals are merged pairwise: the right run takes over what the left one
+last knew, and intervals of one entity and equal payload that then touch become
+one.  The rounds run over whole column batches; what is left of a batch is short,
+and its last interval meets the next batch as one more run.
+
+Entities with more than ``CHUNK_ROWS`` observations are cut into spans of equal
+numbers of moments by a range partitioning, however unevenly their observations
+lie in time; the runs of neighbouring spans are then merged through their first
+and last states, so no task holds a hot entity whole and none is dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,64 +25,76 @@ from pyspark.sql.window import Window
 
 from pricetide.session import checkpointed
 
-#: Observations of one entity that one task takes on; an entity with more is cut into spans of time.
+#: Moments of one entity that one task takes on; an entity with more is cut into spans.
 CHUNK_ROWS = 200_000
 
 _VERSIONS = "entity long, span long, start long, until long, price long, stock string"
 
 
-def _filled(known: np.ndarray, values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Carry known values to later rows of the same group, doubling the reach each round."""
-    reach, n = 1, len(values)
-    while reach < n:
-        take = ~known[reach:] & known[:-reach] & (group[reach:] == group[:-reach])
-        if not take.any() and reach > 1 and not (~known).any():
-            break
-        values[reach:] = np.where(take, values[:-reach], values[reach:])
-        known = known.copy()
-        known[reach:] |= take
-        reach *= 2
-    return known, values
+class _Runs(NamedTuple):
+    """Intervals in order: the entity and span they belong to, begin, and payload with what is known of it."""
+
+    group: np.ndarray
+    at: np.ndarray
+    price: np.ndarray
+    price_known: np.ndarray
+    stock: np.ndarray
+    stock_known: np.ndarray
+    row: np.ndarray
+
+
+def _merge_neighbours(runs: _Runs, block: np.ndarray) -> tuple[_Runs, np.ndarray]:
+    """One round: the runs 2k and 2k + 1 become run k."""
+    heads = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    left = np.repeat(heads, np.diff(np.r_[heads, len(block)])) - 1  # the last interval of the run to the left
+    met = (block & 1 == 1) & (runs.group[left] == runs.group)
+    payload = []
+    for values, known in ((runs.price, runs.price_known), (runs.stock, runs.stock_known)):
+        take = met & ~known & known[left]
+        payload += [np.where(take, values[left], values), known | take]
+    runs = _Runs(runs.group, runs.at, *payload, runs.row)
+    block = block >> 1
+    equal = (block[1:] == block[:-1]) & (runs.group[1:] == runs.group[:-1])
+    for c in payload:
+        equal &= c[1:] == c[:-1]
+    keep = np.r_[True, ~equal]
+    return _Runs(*(c[keep] for c in runs)), block[keep]
+
+
+def _reduced(runs: _Runs) -> _Runs:
+    """The maximal intervals of unit intervals, by log2 rounds of pairwise merging."""
+    block = np.arange(len(runs.at))
+    while len(block) and block[-1]:
+        runs, block = _merge_neighbours(runs, block)
+    return runs
 
 
 def _coalesce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Merge sorted observations into versions; the state of the open entity goes from batch to batch."""
     pending: tuple | None = None  # the version that is still open: entity, span, start, price, stock
-    codes: dict[str, int] = {}
-    names: list[str] = []
+    names = np.array([], dtype=object)
     for frame in frames:
         if not len(frame):
             continue
         entity, span, at = (frame[c].to_numpy(dtype=np.int64) for c in ("entity", "span", "at"))
         price_known = frame["price"].notna().to_numpy()
         price = frame["price"].fillna(0).to_numpy(dtype=np.float64).astype(np.int64)
-        stock_known = frame["stock"].notna().to_numpy()
-        stock = np.zeros(len(frame), dtype=np.int64)
-        values = frame["stock"].to_numpy(dtype=object)
-        for i in np.flatnonzero(stock_known):
-            name = values[i]
-            code = codes.get(name)
-            if code is None:
-                code = codes[name] = len(names)
-                names.append(name)
-            stock[i] = code
+        told = frame["stock"].to_numpy(dtype=object)
+        codes, names = pd.factorize(np.r_[names, told])
+        stock = codes[len(codes) - len(told):].astype(np.int64)
+        stock_known = stock >= 0
+        stock = np.where(stock_known, stock, 0)
         if pending is not None:  # the open version stands before the batch as one more interval
             e, s, t, p, k = pending
             entity, span, at = np.r_[e, entity], np.r_[s, span], np.r_[t, at]
             price_known, price = np.r_[p is not None, price_known], np.r_[0 if p is None else p, price]
             stock_known, stock = np.r_[k is not None, stock_known], np.r_[0 if k is None else k, stock]
-        fresh = np.r_[True, (entity[1:] != entity[:-1]) | (span[1:] != span[:-1])]
-        group = np.cumsum(fresh)
-        price_known, price = _filled(price_known, price, group)
-        stock_known, stock = _filled(stock_known, stock, group)
-        same = (price_known[1:] == price_known[:-1]) & (price[1:] == price[:-1]) & (stock_known[1:] == stock_known[:-1]) & (stock[1:] == stock[:-1])
-        begins = np.flatnonzero(fresh | ~np.r_[False, same])
-        last = begins[-1]
-        pending = (int(entity[last]), int(span[last]), int(at[last]), int(price[last]) if price_known[last] else None, int(stock[last]) if stock_known[last] else None)
-        done = begins[:-1]
-        following = begins[1:]
-        until = np.where(group[following] == group[done], at[following], -1)
-        yield _rows(entity[done], span[done], at[done], until, price[done], price_known[done], stock[done], stock_known[done], names)
+        group = np.cumsum(np.r_[True, (entity[1:] != entity[:-1]) | (span[1:] != span[:-1])])
+        runs = _reduced(_Runs(group, at, price, price_known, stock, stock_known, np.arange(len(at))))
+        entity, span = entity[runs.row], span[runs.row]
+        pending = (int(entity[-1]), int(span[-1]), int(runs.at[-1]), int(runs.price[-1]) if runs.price_known[-1] else None, int(runs.stock[-1]) if runs.stock_known[-1] else None)
+        until = np.where(runs.group[1:] == runs.group[:-1], runs.at[1:], -1)
+        yield _rows(entity[:-1], span[:-1], runs.at[:-1], until, runs.price[:-1], runs.price_known[:-1], runs.stock[:-1], runs.stock_known[:-1], names)
     if pending is not None:
         e, s, t, p, k = pending
         yield pd.DataFrame({"entity": [e], "span": [s], "start": [t], "until": [-1], "price": pd.array([p], dtype="Int64"), "stock": [None if k is None else names[k]]})
@@ -104,26 +118,22 @@ def versions(observations: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame
     price, then stock.  Rows without entity or moment have no version.
     """
     seen = observations.where("entity is not null and at is not null")
-    sizes = seen.groupBy("entity").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).where(F.col("n") > chunk_rows)
-    hot = checkpointed(sizes.select("entity", "low", ((F.col("high") - F.col("low")) / F.ceil(F.col("n") / chunk_rows)).alias("width")))
-    any_hot = not hot.isEmpty()
-    keys = ["entity"]
-    if any_hot:
-        nth = F.floor((F.col("at") - F.col("low")) / F.when(F.col("width") > 0, F.col("width")))
-        seen = seen.join(hot, "entity", "left").withColumn("span", F.coalesce(nth, F.lit(0).cast("long")))
-        keys = ["entity", "span"]
-    placed = seen.select(*keys, "at", "rank", "price", "stock").repartition(*keys)
-    # the partitioning by entity (and span) already serves the grouping by moment
-    moments = placed.groupBy(*keys, "at").agg(F.max(F.struct("rank", "price", "stock")).alias("o"))
-    ordered = moments.sortWithinPartitions(*keys, "at").select(
-        "entity", F.col("span") if any_hot else F.lit(0).cast("long").alias("span"), "at", F.col("o.price").alias("price"), F.col("o.stock").alias("stock")
-    )
-    runs = ordered.mapInPandas(_coalesce, _VERSIONS)
-    if not any_hot:
-        return runs.select("entity", "start", F.when(F.col("until") >= 0, F.col("until")).alias("until"), "price", "stock")
-    runs = checkpointed(runs)
-    cool = runs.join(hot.select("entity"), "entity", "left_anti").select("entity", "start", F.when(F.col("until") >= 0, F.col("until")).alias("until"), "price", "stock")
-    return cool.unionByName(_joined_spans(runs.join(hot.select("entity"), "entity", "left_semi")))
+    hot = checkpointed(seen.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") > chunk_rows))
+    n_hot = hot.agg(F.sum("n")).first()[0]
+    latest = F.max(F.struct("rank", "price", "stock")).alias("o")
+    cool = seen if n_hot is None else seen.join(hot, "entity", "left_anti")
+    # the partitioning by entity already serves the grouping by moment
+    moments = cool.select("entity", "at", "rank", "price", "stock").repartition("entity").groupBy("entity", "at").agg(latest)
+    open_end = F.when(F.col("until") >= 0, F.col("until")).alias("until")
+    ordered = moments.sortWithinPartitions("entity", "at").select("entity", F.lit(0).cast("long").alias("span"), "at", "o.price", "o.stock")
+    found = ordered.mapInPandas(_coalesce, _VERSIONS).select("entity", "start", open_end, "price", "stock")
+    if n_hot is None:
+        return found
+    # copies of one moment are merged before they meet, then ranges of equal size are the spans
+    moments = seen.join(hot.select("entity"), "entity", "left_semi").groupBy("entity", "at").agg(latest)
+    spread = checkpointed(moments).repartitionByRange(-(-n_hot // chunk_rows), "entity", "at").sortWithinPartitions("entity", "at")
+    spans = spread.select("entity", F.spark_partition_id().cast("long").alias("span"), "at", "o.price", "o.stock")
+    return found.unionByName(_joined_spans(checkpointed(spans.mapInPandas(_coalesce, _VERSIONS))).select("entity", "start", open_end, "price", "stock"))
 
 
 def _joined_spans(runs: DataFrame) -> DataFrame:

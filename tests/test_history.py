@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,26 @@ def test_listings(spark):
     t0 = 1767225600
     got = sorted(tuple(r) for r in listing_versions(listings, views).collect())
     assert got == [(1, t0 + 5, t0 + 10), (1, t0 + 10, 0)]
+
+
+def test_merging_in_rounds_makes_the_versions(spark, monkeypatch):
+    from pricetide.operators import history as h
+    data = rows(4)
+    frame = [(e, 0, at, p, s) for e, at, _, p, s in data if e is not None and at is not None]
+    frame = pd.DataFrame(sorted({r[:3]: r for r in frame}.values(), key=lambda r: r[:3]), columns=["entity", "span", "at", "price", "stock"])
+    got = pd.concat(h._coalesce(iter([frame])))
+    assert len(got) < len(frame)
+    rounds = []
+    merge = h._merge_neighbours
+    monkeypatch.setattr(h, "_merge_neighbours", lambda r, b: rounds.append(1) or merge(r, b))
+    list(h._coalesce(iter([frame])))
+    assert len(rounds) == (len(frame) - 1).bit_length()
+    monkeypatch.setattr(h, "_reduced", lambda r: r)
+    assert len(pd.concat(h._coalesce(iter([frame])))) == len(frame)
+
+
+def test_a_burst_is_spread_over_spans(spark):
+    """Most observations of the hot entity lie in one of its last seconds."""
+    data = [(1, 0, 0, 1, "a")] + [(1, 10_000_000 + i, 0, i // 7 % 3, None) for i in range(500)] + [(2, 5, 0, 1, None)]
+    got = versions(spark.createDataFrame(data, OBS).repartition(3), 50)
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == brute(data)
