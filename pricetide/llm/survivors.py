@@ -1,42 +1,47 @@
 """The surviving record of each duplicate group, chosen field by field.
 
-What the candidates of a group state is broken into claims: the brand, line,
-model and technical attributes of a name, the brand, the entries of specs, the
-image.  A placeholder is no claim.  Whether a claim is true is a latent variable;
-each source has, per field, a sensitivity (how often it states what is true) and
-a specificity (how rarely it states what isn't).  Expectation-maximisation infers
-both; a field may have several true values and every value judged true is kept.
+What the candidates of a group state is broken into claims, a value under a key:
+the brand, line, model and technical attributes of a name, the brand, the
+entries of specs, each image.  A placeholder is no claim.  Whether a claim is
+true is a latent variable.  A source that states another value under the same
+key denies the claim; one without a value for the key is silent, which says
+nothing.  Each source has, per field, a sensitivity (how often it states what is
+true) and a specificity (how often it leaves out what is false), both learned by
+expectation-maximisation from the keys under which sources differ, until they
+stand still.  Of the values of such a key at least one is true; all may be, so a
+field of several values keeps every one judged true.  Images never deny each other.
 A candidate is as complete in a field as it states claims judged true; among
 equally complete ones the source's trust level, then the date decides.
 
-Defined results: groups with a null id are left out; a null trust level or date
-counts as lowest; a full tie goes to the smaller candidate_id; repeated rows of
-one candidate count once; a field without any true claim has no row.
+The rounds are joins and sums on the executors over the statements of contested
+keys alone: neither claims nor the table of sources come to the driver or have a
+bound, and a key that millions fill is summed before it is shuffled.
+
+Defined results: groups with a null id are left out; a null source is a source of
+its own; a null trust level or date counts as lowest; a full tie goes to the
+smaller candidate_id; repeated rows of one candidate count once; a field without
+any true claim has no row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.batch_dedup import brand_words
-from pricetide.llm.product_phrases import PhraseReader, mine_lines
+from pricetide.llm.product_phrases import PhraseReader, attributes, mine_lines
 from pricetide.llm.words import fold
 from pricetide.session import checkpointed
 
-ROUNDS = 4
-#: Beta priors as (hits, misses).  Sensitivity is open.  A real value that is false is taken as one in a
-#: million, for silence is no denial: a value must be able to win though all others of its group lack it.
-PRIOR_SENSITIVITY = (4.0, 4.0)
-PRIOR_FALSE = (1.0, 1_000_000.0)
-PRIOR_TRUE = 0.5
+#: Beta priors as (hits, misses), worth ten observations beside those of the data at any size.
+PRIOR_SENSITIVITY = (8.0, 2.0)
+PRIOR_FALSE = (1.0, 9.0)
+#: How likely it is beforehand that all values of a contested key are true, beside each of them being the only one.
+ALL_TRUE = 0.2
 JUDGED_TRUE = 0.5
-#: The quality table has a row per source and field and is held by every task; a longer source list is refused.
-MOST_SOURCES = 100_000
+#: The rounds end when no sensitivity or specificity moves by this much, at the latest after ``MOST_ROUNDS``.
+STILL, MOST_ROUNDS = 0.01, 40
 FIELDS = ("canonical_name", "brand", "specs", "image_url")
 
 # Texts that stand for a missing value.
@@ -56,96 +61,101 @@ def real_image(url: Column) -> Column:
 
 
 def claims(candidates: DataFrame, brands: list[str], lines: list[str]) -> DataFrame:
-    """group_id, candidate_id, source, field, claim: one row for each thing that a candidate states."""
+    """group_id, candidate_id, source, field, entry, key, value: one row for each thing that a candidate states.
+
+    ``key`` and ``value`` are in canonical form, ``entry`` tells apart entries of one specs map that share them.
+    """
     rows = candidates.where("group_id is not null and candidate_id is not null").select(
         F.col("group_id").cast("long").alias("group_id"), F.col("candidate_id").cast("long").alias("candidate_id"),
         F.coalesce(F.col("source_id").cast("long"), F.lit(-1).cast("long")).alias("source"), "canonical_name", "brand", "specs", "image_url",
     )
+    pairs = "array<struct<key:string,value:string>>"
 
     def name_facts(names: pd.Series) -> pd.Series:
         reader = PhraseReader(brands, lines)
         out = []
         for n in names:
             r = reader.read(n if isinstance(n, str) else None)
-            facts = [f"{k}={v}" for k, v in (("brand", r.brand), ("line", r.line), ("model", r.model)) if v]
-            out.append(facts + [f"{k}={v}" for k, v in r.attributes])
-        return pd.Series(out)
-
-    facts = F.pandas_udf(name_facts, "array<string>")
-    entries = F.map_entries(F.coalesce("specs", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
-    spec = F.array_compact(F.transform(entries, lambda e: F.concat(F.lower(F.trim(e["key"])), F.lit("="), real_text(e["value"]))))
-    stated = F.array(
-        F.struct(F.lit("canonical_name").alias("field"), facts("canonical_name").alias("claims")),
-        F.struct(F.lit("brand").alias("field"), F.array_compact(F.array(real_text(F.col("brand")))).alias("claims")),
-        F.struct(F.lit("specs").alias("field"), F.array_distinct(spec).alias("claims")),
-        F.struct(F.lit("image_url").alias("field"), F.array_compact(F.array(real_image(F.col("image_url")))).alias("claims")),
-    )
-    per_field = rows.select("group_id", "candidate_id", "source", F.inline(stated))
-    return per_field.select("group_id", "candidate_id", "source", "field", F.explode("claims").alias("claim")).distinct()
-
-
-def judged(stated: DataFrame, candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """group_id, field, claim of the claims judged true by the two-sided quality model.
-
-    A claim is one row with the sources that state it and those of its group
-    that are silent.  A round passes over these rows once and sums, per source
-    and field, in each task; only the table of sources comes to the driver.
-    """
-    members = candidates.where("group_id is not null and candidate_id is not null").select(
-        F.col("group_id").cast("long").alias("group_id"), F.coalesce(F.col("source_id").cast("long"), F.lit(-1).cast("long")).alias("source"),
-    )
-    present = members.groupBy("group_id").agg(F.collect_set("source").alias("present"))
-    by_claim = stated.groupBy("group_id", "field", "claim").agg(F.collect_set("source").alias("says"))
-    table = checkpointed(by_claim.join(present, "group_id").select("group_id", "field", "claim", "says", F.array_except("present", "says").alias("silent")))
-    n_sources = stated.select("source").distinct().limit(MOST_SOURCES + 1).count()
-    if n_sources > MOST_SOURCES:
-        raise ValueError("more sources than the quality table may hold")
-    spark = stated.sparkSession
-
-    start = (PRIOR_SENSITIVITY[0] / sum(PRIOR_SENSITIVITY), PRIOR_FALSE[0] / sum(PRIOR_FALSE))
-
-    def posterior(frame: pd.DataFrame, quality: dict) -> np.ndarray:
-        out = np.empty(len(frame))
-        prior = np.log(PRIOR_TRUE / (1 - PRIOR_TRUE))
-        for i, (field, says, silent) in enumerate(zip(frame["field"], frame["says"], frame["silent"])):
-            odds = prior
-            for s in says:
-                sens, false = quality.get((s, field), start)
-                odds += np.log(sens / false)
-            for s in silent:
-                sens, false = quality.get((s, field), start)
-                odds += np.log((1 - sens) / (1 - false))
-            out[i] = 1 / (1 + np.exp(-min(max(odds, -50), 50)))
-        return out
-
-    def sums(quality: dict):
-        def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total: dict[tuple[int, str], np.ndarray] = {}
-            for frame in frames:
-                for p, field, says, silent in zip(posterior(frame, quality), frame["field"], frame["says"], frame["silent"]):
-                    for group, at in ((says, 0), (silent, 2)):
-                        for s in group:
-                            row = total.setdefault((int(s), field), np.zeros(4))
-                            row[at] += p
-                            row[at + 1] += 1 - p
-            yield pd.DataFrame([(s, f, *v) for (s, f), v in total.items()], columns=["source", "field", "tp", "fp", "fn", "tn"])
-        return one
-
-    quality: dict[tuple[int, str], tuple[float, float]] = {}
-    for _ in range(rounds):
-        rows = table.mapInPandas(sums(quality), "source long, field string, tp double, fp double, fn double, tn double")
-        rows = rows.groupBy("source", "field").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn"))).collect()
-        (a, b), (c, d) = PRIOR_SENSITIVITY, PRIOR_FALSE
-        quality = {
-            (r["source"], r["field"]): ((r["tp"] + a) / (r["tp"] + r["fn"] + a + b), (r["fp"] + c) / (r["fp"] + r["tn"] + c + d)) for r in rows
-        }
-    held = spark.sparkContext.broadcast(quality)
-
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.loc[posterior(frame, held.value) >= JUDGED_TRUE, ["group_id", "field", "claim"]]
-
-    return table.mapInPandas(keep, "group_id long, field string, claim string")
+            out.append([(k, v) for k, v in (("brand", r.brand), ("line", r.line), ("model", r.model), *r.attributes) if v])
+        return pd.Series([[{"key": k, "value": v} for k, v in facts] for facts in out])
+
+    def canonical_brand(typed: pd.Series) -> pd.Series:
+        reader = PhraseReader(brands, ())
+        return typed.map(lambda b: (reader.read(b).brand or fold(b)) if isinstance(b, str) else None)
+
+    def canonical_value(value: pd.Series) -> pd.Series:
+        def form(v: str) -> str:
+            text = fold(v)
+            return " ".join(f"{k}={x}" for k, x in sorted(attributes(text).items())) or text
+
+        return value.map(lambda v: form(v) if isinstance(v, str) else None)
+
+    facts, brand_of, value_of = F.pandas_udf(name_facts, pairs), F.pandas_udf(canonical_brand, "string"), F.pandas_udf(canonical_value, "string")
+    who = ["group_id", "candidate_id", "source"]
+
+    def told(field: str, entry: Column | str, key: Column, value: Column) -> list:
+        return [*who, F.lit(field).alias("field"), F.lit(entry).alias("entry") if isinstance(entry, str) else entry.alias("entry"), key.alias("key"), value.alias("value")]
+
+    names = rows.select(*who, F.explode(facts("canonical_name")).alias("f")).select(*told("canonical_name", "", F.col("f.key"), F.col("f.value")))
+    brand = rows.select(*who, real_text(F.col("brand")).alias("v")).where("v is not null").select(*told("brand", "", F.lit("brand"), brand_of("v")))
+    specs = rows.select(*who, F.explode("specs").alias("k", "v")).where(real_text(F.col("v")).isNotNull()).select(*told("specs", F.col("k"), F.lower(F.trim("k")), value_of("v")))
+    image = rows.select(*who, real_image(F.col("image_url")).alias("v")).where("v is not null").select(*told("image_url", "", F.col("v"), F.col("v")))
+    return names.unionByName(brand).unionByName(specs).unionByName(image).distinct()
+
+
+_KEY = ["group_id", "field", "key"]
+
+
+def _beliefs(votes: DataFrame, quality: DataFrame) -> DataFrame:
+    """group_id, field, key, value, p: how likely each value of the contested keys is true."""
+    ln = F.log
+    known = votes.join(quality, ["source", "field"])
+    said = known.groupBy(*_KEY, "value").agg(
+        F.sum(ln("sens") - ln(1 - F.col("sens"))).alias("a"), F.sum(ln("false") - ln(1 - F.col("false"))).alias("b"))
+    filled = known.select(*_KEY, "source", "sens", "false").distinct().groupBy(*_KEY).agg(F.sum(ln(1 - F.col("sens"))).alias("da"), F.sum(ln(1 - F.col("false"))).alias("db"))
+    each = said.join(filled, _KEY).select(*_KEY, "value", (F.col("a") + F.col("da")).alias("if_true"), (F.col("b") + F.col("db")).alias("if_false"))
+    whole = each.groupBy(*_KEY).agg(
+        (F.sum("if_true") - F.sum("if_false") + F.log(F.lit(ALL_TRUE))).alias("all_true"), F.max(F.col("if_true") - F.col("if_false")).alias("top"))
+    top = F.greatest("top", "all_true")
+    weighed = each.join(whole, _KEY).withColumns({"alone": F.exp(F.col("if_true") - F.col("if_false") - top), "together": F.exp(F.col("all_true") - top)})
+    total = weighed.groupBy(*_KEY).agg(F.sum("alone").alias("sum"))
+    return weighed.join(total, _KEY).select(*_KEY, "value", ((F.col("alone") + F.col("together")) / (F.col("sum") + F.col("together"))).alias("p"))
+
+
+def _quality(votes: DataFrame, beliefs: DataFrame, agreed: DataFrame) -> DataFrame:
+    """source, field, sens, false of a round; ``agreed`` counts the keys whose fillers all say the same."""
+    (a, b), (c, d) = PRIOR_SENSITIVITY, PRIOR_FALSE
+    per_key = beliefs.groupBy(*_KEY).agg(F.sum("p").alias("all_p"), F.count("*").alias("n"))
+    said = votes.join(beliefs, [*_KEY, "value"]).groupBy(*_KEY, "source").agg(F.sum("p").alias("tp"), F.sum(1 - F.col("p")).alias("fp"))
+    held = said.join(per_key, _KEY).groupBy("source", "field").agg(
+        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum(F.col("all_p") - F.col("tp")).alias("fn"), F.sum(F.col("n") - F.col("all_p") - F.col("fp")).alias("tn"))
+    known = held.join(agreed, ["source", "field"], "left").withColumn("tp", F.col("tp") + F.coalesce("n_agreed", F.lit(0)))
+    return known.select(
+        "source", "field", ((F.col("tp") + a) / (F.col("tp") + F.greatest("fn", F.lit(0.0)) + a + b)).alias("sens"),
+        ((F.col("fp") + c) / (F.col("fp") + F.greatest("tn", F.lit(0.0)) + c + d)).alias("false"))
+
+
+def judged_false(stated: DataFrame) -> DataFrame:
+    """group_id, field, key, value of the claims that the two-sided quality model rejects."""
+    told = stated.select(*_KEY, "value", "source").distinct()
+    sizes = told.groupBy(*_KEY).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    contested = sizes.where("low <> high").select(*_KEY)
+    votes = checkpointed(told.join(contested, _KEY, "left_semi"))
+    if votes.isEmpty():
+        return votes.select(*_KEY, "value")
+    agreed = checkpointed(told.join(contested, _KEY, "left_anti").groupBy("source", "field").agg(F.count("*").alias("n_agreed")))
+    start = [F.lit(x / (x + y)).alias(name) for (x, y), name in ((PRIOR_SENSITIVITY, "sens"), (PRIOR_FALSE, "false"))]
+    quality, moved, rounds = checkpointed(votes.select("source", "field").distinct().select("source", "field", *start)), 1.0, 0
+    while moved > STILL and rounds < MOST_ROUNDS:
+        following = checkpointed(_quality(votes, _beliefs(votes, quality), agreed))
+        old = quality.select("source", "field", F.col("sens").alias("s"), F.col("false").alias("f"))
+        change = F.greatest(F.abs(F.col("sens") - F.col("s")), F.abs(F.col("false") - F.col("f")))
+        moved = following.join(old, ["source", "field"]).agg(F.max(change)).first()[0]
+        quality, rounds = following, rounds + 1
+    beliefs = checkpointed(_beliefs(votes, quality))
+    best = beliefs.groupBy(*_KEY).agg(F.max("p").alias("best"))
+    # values that nothing tells apart stay together
+    return beliefs.join(best, _KEY).where((F.col("p") < JUDGED_TRUE) & (F.col("p") < F.col("best") - 1e-6)).select(*_KEY, "value")
 
 
 def survivors(candidates: DataFrame, sources: DataFrame, ref_values: DataFrame) -> DataFrame:
@@ -153,8 +163,8 @@ def survivors(candidates: DataFrame, sources: DataFrame, ref_values: DataFrame)
     brands = brand_words(ref_values)
     lines = mine_lines(candidates, "canonical_name", brands)
     stated = checkpointed(claims(candidates, brands, lines))
-    true = judged(stated, candidates)
-    complete = stated.join(true, ["group_id", "field", "claim"], "left_semi").groupBy("group_id", "field", "candidate_id").agg(F.count("*").alias("n"))
+    true = stated.join(judged_false(stated), ["group_id", "field", "key", "value"], "left_anti")
+    complete = true.groupBy("group_id", "field", "candidate_id").agg(F.count("*").alias("n"))
     trust = sources.groupBy(F.col("source_id").cast("long").alias("source_id")).agg(F.max("trust_level").alias("trust"))
     about = candidates.select(F.col("candidate_id").cast("long").alias("candidate_id"), F.col("source_id").cast("long").alias("source_id"), "updated_at").join(trust, "source_id", "left")
     about = about.groupBy("candidate_id").agg(F.max(F.struct(F.coalesce("trust", F.lit(-1)).alias("trust"), F.coalesce(F.unix_micros("updated_at"), F.lit(-(2**62))).alias("at"))).alias("a"))

@@ -12,7 +12,7 @@ REAL = "https://img.a.example/m/1-{}.jpg"
 
 
 def run(spark, rows, sources=((1, 5), (2, 3), (3, None))):
-    df = spark.createDataFrame(rows, SCHEMA).withColumns({"trust": F.lit(9), "field": F.lit("x"), "claim": F.lit("y"), "n": F.lit(0)})
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"trust": F.lit(9), "field": F.lit("x"), "claim": F.lit("y"), "key": F.lit("y"), "value": F.lit("z"), "entry": F.lit(1), "pattern": F.lit(1), "n": F.lit(0)})
     src = spark.createDataFrame(list(sources), "source_id long, trust_level int")
     ref = spark.createDataFrame([("brand", "Velmora")], "kind string, value string")
     return {(r["group_id"], r["field_name"]): r["candidate_id"] for r in sv.survivors(df, src, ref).collect()}
@@ -47,14 +47,47 @@ def test_empty(spark):
     assert run(spark, []) == {}
 
 
-def test_quality_model_tells_sources_apart(spark):
-    """A value that only a source of invented values states loses, one that a silent majority lacks stays."""
-    rows = [(g, g * 10 + s, s, "specs", f"k=true{g}") for g in range(40) for s in (1, 2, 3)]
-    rows += [(g, g * 10 + 1, 1, "specs", "only=one") for g in range(40)]
-    stated = spark.createDataFrame(rows, "group_id long, candidate_id long, source long, field string, claim string")
-    members = spark.createDataFrame([(g, g * 10 + s, s) for g in range(40) for s in (1, 2, 3)], "group_id long, candidate_id long, source_id long")
-    kept = {(r["group_id"], r["claim"]) for r in sv.judged(stated, members).collect()}
-    assert {(g, f"k=true{g}") for g in range(40)} <= kept and {(g, "only=one") for g in range(40)} <= kept
+def statement(g, s, key, value, field="specs"):
+    return (g, g * 10 + s, s, field, key, key, value)
+
+
+STATED = "group_id long, candidate_id long, source long, field string, entry string, key string, value string"
+
+
+def false_claims(spark, rows):
+    return {(r["group_id"], r["key"], r["value"]) for r in sv.judged_false(spark.createDataFrame(rows, STATED)).collect()}
+
+
+def test_quality_is_learned_from_the_data(spark):
+    """Source 3 contradicts the others wherever they agree, so it also loses where it stands against one alone."""
+    rows = [statement(g, s, "ram", f"v{g}") for g in range(40) for s in (1, 2)] + [statement(g, 3, "ram", f"wrong{g}") for g in range(40)]
+    rows += [statement(g, 1, "colour", f"c{g}") for g in range(40, 60)] + [statement(g, 3, "colour", f"d{g}") for g in range(40, 60)]
+    rows += [statement(g, 3, "only", "by one") for g in range(60, 70)]  # nobody denies it
+    false = false_claims(spark, rows)
+    assert {(g, "ram", f"wrong{g}") for g in range(40)} <= false and {(g, "colour", f"d{g}") for g in range(40, 60)} <= false
+    assert not {x for x in false if x[1] == "only" or x[2][0] in "vc"}
+
+
+def test_silence_denies_nothing_and_equal_sources_keep_both(spark):
+    rows = [statement(g, s, "a", "x") for g in range(30) for s in (1, 2, 3)] + [statement(g, s, "b", "y") for g in range(30) for s in (1, 2)]
+    rows += [statement(99, 1, "c", "p"), statement(99, 2, "c", "q")]  # a key of several values
+    assert false_claims(spark, rows) == set()
+
+
+def test_same_judgement_at_other_sizes(spark):
+    rows = lambda n: [statement(g, s, "k", "no" if s == 3 else "yes") for g in range(n) for s in (1, 2, 3)]
+    for n in (1, 300):
+        assert {x[2] for x in false_claims(spark, rows(n))} == {"no"}
+
+
+def test_an_unreliable_source_loses_its_groups(spark, monkeypatch):
+    """The fullest specs come from source 3, whose values the others deny; without the model it would win."""
+    specs = lambda s: {"ram": "8 gb", "size": "15 inch"} if s < 3 else {"ram": "9 gb", "size": "16 inch", "weight": "1 kg"}
+    rows = NAMES + [(g * 10 + s, g, None, None, specs(s), None, s, DAY[s]) for g in range(1, 21) for s in (1, 2, 3)]
+    got = run(spark, rows)
+    assert {got[g, "specs"] for g in range(1, 21)} == {g * 10 + 1 for g in range(1, 21)}
+    monkeypatch.setattr(sv, "judged_false", lambda stated: stated.select("group_id", "field", "key", "value").limit(0))
+    assert {run(spark, rows)[g, "specs"] for g in range(1, 21)} == {g * 10 + 3 for g in range(1, 21)}
 
 
 def test_like_the_plain_rule(spark, data):
