@@ -42,6 +42,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "pricetide", f"{label}-{uuid.uuid4().hex}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table and all below it, on whatever file system it lies."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Scan one table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
