@@ -3,25 +3,27 @@
 ``PhraseReader`` holds a vocabulary of brands and lines in one Aho-Corasick
 automaton and completes a found brand or line phrase with the model number and
 the attributes around it.  The vocabulary is mined from trusted listings by
-``mine_lines``; its size is bounded by construction, because a line enters only
-with a stated share of all trusted phrases.
+``mine_lines``, every line with a single trusted listing included.  Where no
+known line is followed by a model, the first article code after the brand is the
+model and the words between them are the line.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.words import fold, osa
 
-#: A mined line must hold this share of all trusted phrases, so at most 1 / share lines exist.
-LINE_SHARE = 0.002
+#: Every task holds the automaton of lines; a longer list is refused.
+MOST_LINES = 500_000
 #: A line that lies within two edits of one this many times as frequent is a misspelling of it.
 MISSPELT_RATIO = 5
 
@@ -63,6 +65,16 @@ _WORD_RULES = [
 _SWITCH = re.compile(r"(?<![a-z])(?:switchs?\s+(" + "|".join(SWITCH_COLOURS) + r")|(" + "|".join(SWITCH_COLOURS) + r")\s+switchs?)(?![a-z])")
 _MODEL = re.compile(r"\s*[|/–-]?\s*(?<![a-z])(\d{4})(?![\d.,]\d)(?:\s?-?\s?([ksx])(?![a-z0-9]))?(?![a-z0-9])")
 _WORD = re.compile(r"[a-z]+")
+#: An article code of any shape: letters and digits, at least two digits, perhaps behind a series as in "i7-".
+_CODE = re.compile(r"(?<![\w.,])(?:[a-z]{1,3}\d-)?[a-z]{0,5}-?\d{2,6}[a-z]{0,3}(?![\w.,]\w|\w)")
+_NO_CODE = re.compile(r"(?:ddr|usb|pcie|wifi|sata|hdmi|lga|socket|am|rj)-?\d+|\d{2,3}")
+_PLAIN_NUMBER = re.compile(r"\d{3}")
+# Words that belong to the model number before them, and words of sale.
+MODEL_SUFFIXES = frozenset("ti super xt xtx gre pro max plus evo ultra mini oc".split())
+SALES_WORDS = frozenset(
+    "promo promotion solde soldes neuf neuve new original originale dispo disponible stock en arrivage garantie livraison prix deal hot best seller top offre special "
+    "speciale destockage mois sous emballage jamais servi utilise occasion etat bon tres avec sans pour le la les de du des et pc kit version edition".split()
+)
 #: Memory below and disks from this size on are different attributes.
 DISK_FROM_GB = 128
 
@@ -111,6 +123,54 @@ def attributes(folded: str) -> dict[str, str]:
     return found
 
 
+def _by_length(words: list[str]) -> dict[int, tuple[np.ndarray, list[str]]]:
+    """The words by length, with the set of letters of each as bits."""
+    grouped: dict[int, list[str]] = {}
+    for w in words:
+        grouped.setdefault(len(w), []).append(w)
+    return {n: (np.array([_letters(w) for w in ws], dtype=np.uint64), ws) for n, ws in grouped.items()}
+
+
+def _letters(word: str) -> int:
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
+def _alike(shapes: dict[int, tuple[np.ndarray, list[str]]], word: str, most: int) -> Iterator[str]:
+    """Words that can lie within ``most`` edits: an edit changes the length by one and the letters by two at most."""
+    mine = np.uint64(_letters(word))
+    for n in range(len(word) - most, len(word) + most + 1):
+        if n in shapes:
+            bits, words = shapes[n]
+            for i in np.flatnonzero(np.bitwise_count(bits ^ mine) <= 2 * most):
+                yield words[i]
+
+
+def _article(text: str, start: int) -> tuple[str | None, str, str | None, str] | None:
+    """Line words, model, own name after the model, and the rest of a text whose brand ends at ``start``."""
+    masked = text
+    for _, pattern, _ in _NUMBER_RULES:
+        masked = pattern.sub(lambda m: " " * len(m[0]), masked)
+    for m in _CODE.finditer(masked, start):
+        if _NO_CODE.fullmatch(m[0]) and not (_PLAIN_NUMBER.fullmatch(m[0])):
+            continue
+        words = [w for w in re.findall(r"[^\W_]+", masked[start:m.start()]) if w not in _KNOWN and w not in SALES_WORDS]
+        model, end = m[0].replace("-", ""), m.end()
+        while (s := re.compile(r"\s+([a-z]+)(?![a-z0-9])").match(masked, end)) and s[1] in MODEL_SUFFIXES:
+            model, end = f"{model} {s[1]}", s.end()
+        name = re.compile(r"\s+([a-z]{3,})(?![a-z0-9])").match(masked, end)
+        own = name[1] if name and _known(name[1]) not in _KNOWN and name[1] not in SALES_WORDS and not _value_word(name[1]) else None
+        line = " ".join(words) or (re.match(r"[a-z]*", m[0])[0] or None)
+        return line, model, own, text[:m.start()] + " | " + text[end:]
+    return None
+
+
+def _value_word(word: str) -> bool:
+    return word in SWITCH_COLOURS or any(word in words for words in WORD_VALUES.values())
+
+
 class PhraseReader:
     """Finds brand and line phrases by Aho-Corasick and reads what stands around them.
 
@@ -129,6 +189,7 @@ class PhraseReader:
         if len(self.automaton):
             self.automaton.make_automaton()
         self._near: dict[tuple[str, str], str | None] = {}
+        self._shapes = {"brand": _by_length(self.brands), "line": _by_length(self.lines)}
 
     def near(self, kind: str, word: str) -> str | None:
         key = (kind, word)
@@ -138,7 +199,7 @@ class PhraseReader:
             most = 1 if len(word) < 8 else 2
             hits: list[tuple[int, str]] = []
             if len(word) >= 4 and word not in _KNOWN:
-                for w in self.brands if kind == "brand" else self.lines:
+                for w in _alike(self._shapes[kind], word, most):
                     d = osa(word, w, most)
                     if d <= most:
                         hits.append((d, w))
@@ -179,34 +240,53 @@ class PhraseReader:
                 if m0[0] != line and (w := self.near("brand", m0[0])):
                     brand = w
                     break
-        found = attributes(rest)
+        told_by_code: dict[str, str] = {}
+        if model is None and brand is not None:
+            at = next((end for _, end, kind, w in hits if kind == "brand" and w == brand), None)
+            if at is not None and (general := _article(text, at)):
+                words, model, name, rest = general
+                line = words or line
+                told_by_code = {"name": name} if name else {}
+        found = attributes(rest) | told_by_code
         if specs_text:
             for k, v in attributes(fold(specs_text)).items():
                 found.setdefault(k, v)
         return Reading(brand, line, model, tuple(sorted(found.items())))
 
 
-def mine_lines(names: DataFrame, name: str, brands: Iterable[str], share: float = LINE_SHARE) -> list[str]:
-    """The product lines of trusted listings.
+def mine_lines(names: DataFrame, name: str, brands: Iterable[str]) -> list[str]:
+    """The product lines of trusted listings."""
+    return correct_lines(count_lines(names, name, brands))
+
+
+def count_lines(names: DataFrame, name: str, brands: Iterable[str]) -> dict[str, int]:
+    """How many trusted listings hold each line.
 
     A listing is trusted where its name begins "brand word number" with a brand
     of the reference list; the word is then a line.  All rows are counted, on
-    the executors; only lines that hold ``share`` of all trusted phrases come to
-    the driver, at most ``1 / share`` of them.
+    the executors; only the distinct lines come to the driver.
     """
     known = [b for b in sorted(set(brands))]
+    shape = r"^(\p{L}+)\s+([a-z]{3,})\s+[0-9]{4}[ksx]?(?:\s|$)"
     text = F.lower(F.col(f"`{name}`"))
-    parts = names.select(F.regexp_extract(text, r"^(\p{L}+)\s+([a-z]{3,})\s+[0-9]{4}[ksx]?(?:\s|$)", 1).alias("brand"),
-                         F.regexp_extract(text, r"^(\p{L}+)\s+([a-z]{3,})\s+[0-9]{4}[ksx]?(?:\s|$)", 2).alias("line"))
+    parts = names.select(F.regexp_extract(text, shape, 1).alias("brand"), F.regexp_extract(text, shape, 2).alias("line"))
     counts = parts.where(F.col("line") != "").where(F.col("brand").isin(known)).groupBy("line").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= total * share).select("line", "n").collect()
-    ranked = sorted(((r["n"], r["line"]) for r in rows), key=lambda x: (-x[0], x[1]))
-    kept: list[tuple[int, str]] = []
-    for n, line in ranked:
-        if not any(m >= MISSPELT_RATIO * n and osa(line, other, 2) <= 2 for m, other in kept):
-            kept.append((n, line))
-    return sorted(line for _, line in kept)
+    rows = counts.limit(MOST_LINES + 1).collect()
+    if len(rows) > MOST_LINES:
+        raise ValueError("more product lines than an automaton may hold")
+    return {r["line"]: r["n"] for r in rows}
+
+
+def correct_lines(counts: dict[str, int]) -> list[str]:
+    """The lines without misspellings of far more frequent ones."""
+    ranked = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    shapes = _by_length([line for line, _ in ranked])
+    misspelt = lambda n, line: any(counts[o] >= MISSPELT_RATIO * n and o in kept and osa(line, o, 2) <= 2 for o in _alike(shapes, line, 2))
+    kept: set[str] = set()
+    for line, n in ranked:
+        if not misspelt(n, line):
+            kept.add(line)
+    return sorted(kept)
 
 
 def specs_text(specs: Column) -> Column:

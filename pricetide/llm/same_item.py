@@ -85,7 +85,7 @@ def groups(entries_: DataFrame, brands: list[str], lines: list[str]) -> DataFram
     """entry_id, seller, item_id (null where the item can't be told) of each entry."""
     read = checkpointed(with_brand(checkpointed(readings(entries_, brands, lines))))
     flat = F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    keyed = read.select("entry_id", "seller", "brand", "line", "model", flat.alias("facts"))
+    keyed = read.select("entry_id", "seller", "brand", F.coalesce("line", F.when(F.col("model").isNotNull(), F.lit("-"))).alias("line"), "model", flat.alias("facts"))
     key = ["brand", "line", "model"]
     told = keyed.where("brand is not null and line is not null and model is not null")
     sets = checkpointed(told.select(*key, "facts").distinct())
