@@ -1,12 +1,14 @@
 """Personal information in free text, found by anchors and replaced by typed placeholders.
 
-One Aho-Corasick pass over the words of a text, in which misspelt cue words are
-corrected, finds the anchors: at-signs and their spellings, international
-prefixes, labels of telephones, identity documents and persons, kinds of
-streets.  From an anchor a deterministic parser of its kind expands to both
-sides, validates the boundaries and the number of digits, and gives the exact
-span.  Numbers whose nearest label names an order, a parcel, a serial or a bar
-code are no personal data.
+Three Aho-Corasick passes find the anchors.  Over the characters: at-signs and
+their spellings, and the schemes that begin a telephone number (plus sign, zero).
+Over the shape of the text, digits and letters replaced by their kind: the
+groupings in which identity numbers alone are written.  Over its words, misspelt
+ones corrected: labels of telephones, identity documents and persons, kinds of
+streets and estates.  From an anchor a deterministic parser of its kind expands
+to both sides, validates the boundaries and the number of digits, and gives the
+exact span.  Numbers whose nearest label names an order, a parcel, a serial or a
+bar code are no personal data.
 
 Defined results: null gives no findings and a null text; of overlapping
 findings the earlier, then the longer one counts; a text without findings comes
@@ -18,7 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import ahocorasick
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 from pricetide.llm.words import fold, osa
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: A place enters the gazetteer with this share of all mentions, so it has at most 1 / share entries.
-PLACE_SHARE = 0.001
+#: Every task holds a gazetteer of up to so many places; of a longer one each document gets the places it may name, by a join.
+MOST_PLACES = 200_000
+#: Words of the longest place names that are told apart.
+PLACE_WORDS = 6
 
 # Cue phrases by what follows them, folded.
 NAME_CUES = (
@@ -83,6 +87,22 @@ _ID = re.compile(
 #: Forms of identity numbers that nothing else is written in.
 _SURE_ID = re.compile(r"\d{3}(?: \d{3}){5}|\d{9} \d{9}|\d{2}(?:-\d{4}){4}|[A-Z]\d{2}/\d{6}", re.I)
 _LABEL_REACH = 48
+# Spellings of the at-sign, characters that a telephone number may follow, and shapes of identity numbers.
+AT_SIGNS = ("@", "arobase", "(at)", "[at]", "{at}", "<at>", "(a)", "[a]", " at ")
+BEFORE_ZERO = " ()[]{}<>@"
+ID_SHAPES = ("000 000 000 000 000 000", "000000000 000000000", "00-0000-0000-0000-0000", "a00/000000")
+_BETWEEN = re.compile(r"[^\w.,#/+@()\[\]{}<>-]")
+_LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._+%-")
+_NUMBER = r"(?<![\w/.,-])\d{1,4}(?:\s?(?:bis|ter|quater|[a-d](?!\w)))?"
+#: What stands before the kind of street, and what may stand between it or an estate and the separator before the town.
+_HOUSE = re.compile(rf"(?:(?:apt|appt|appartement|bt|bat|batiment)\.?\s?\d{{1,3}}\s?,\s?)?{_NUMBER}\s?,?\s$")
+_HOUSE_AND_NAME = re.compile(rf"(?:(?:flat|apartment|apt|unit)\.?\s\d{{1,4}}\s?,\s)?{_NUMBER}\s(?:[\w'’-]+\s){{1,4}}$")
+_STREET_NAME = re.compile(r"\.?\s[^,،\n<>;:!?()]{2,45}?(?=\s*[,،]|\s+-)")
+_BLOCKS = re.compile(r"\s[^\n<>;:!?()]{2,24}?(?:\s?,\s?(?:bt|bat|batiment|bloc|n|no|esc|porte|appt|apt)\.?\s?°?\s?\w{1,5}){1,4}")
+_LOT = re.compile(r"\.?\s[^,،\n<>;:!?()]{2,40}?\sn\s?[°o]\s?\d{1,4}")
+_SEPARATOR = re.compile(r"\s*(?:[,،]|\s-)\s*(?:\d{5}\s+)?")
+_TWO_WORDS = re.compile(rf"{_LETTER}[\w'’-]+\s{_LETTER}[\w'’-]+")
+_PLACE_GAP = re.compile(r"[\s'-]+")
 
 
 def folded_same_length(text: str) -> str:
@@ -103,13 +123,24 @@ class Finding(NamedTuple):
 
 
 class PersonalFinder:
-    """Anchors in one automaton, and a parser for each kind; ``places`` is the gazetteer of towns."""
-
-    def __init__(self, places: list[str] = ()):
+    """The anchor automata and a parser for each kind; ``places`` is the gazetteer of towns."""
+
+    def __init__(self, places: Iterable[str] = ()):
+        self.places = frozenset(map(place_key, places)) - {""}
+        self.marks, self.shapes = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for mark in AT_SIGNS:
+            self.marks.add_word(mark, ("email", len(mark)))
+        self.marks.add_word("+", ("phone", 1))
+        for c in BEFORE_ZERO:
+            self.marks.add_word(f"{c}0", ("phone", 1))
+        for shape in ID_SHAPES:
+            self.shapes.add_word(shape, len(shape))
+        self.marks.make_automaton()
+        self.shapes.make_automaton()
         self.cues = ahocorasick.Automaton()
         kinds: dict[str, list[str]] = {}
         for kind, cues in (("name", NAME_CUES), ("id", ID_CUES), ("other", OTHER_NUMBER_CUES), ("phone", PHONE_CUES),
-                           ("street", STREET_BEFORE + ESTATES), ("street_after", STREET_AFTER)):
+                           ("street", STREET_BEFORE), ("estate", ESTATES), ("street_after", STREET_AFTER)):
             for cue in cues:
                 kinds.setdefault(" " + " ".join(_WORDS.findall(folded_same_length(cue))) + " ", []).append(kind)
         for cue, names in kinds.items():
@@ -120,20 +151,6 @@ class PersonalFinder:
         for w in self.known:
             self.by_size.setdefault(len(w), []).append(w)
         self.near: dict[str, str] = {}
-        folded = sorted({" ".join(_WORDS.findall(folded_same_length(p))) for p in places} - {""}, key=len, reverse=True)
-        town = "|".join(r"[\s'-]+".join(map(re.escape, p.split())) for p in folded) or r"(?!)"
-        shape = rf"{_LETTER}[\w'’-]+\s{_LETTER}[\w'’-]+"
-        self.town = re.compile(town)
-        to_town = rf"\s*(?:[,،]|\s-)\s*(?:\d{{5}}\s+)?(?:(?:{town})(?!\w)|{shape})"
-        number = r"(?<![\w/.,-])\d{1,4}(?:\s?(?:bis|ter|quater|[a-d](?!\w)))?"
-        before = "|".join(sorted(map(re.escape, (folded_same_length(s) for s in STREET_BEFORE)), key=len, reverse=True))
-        after = "|".join(sorted(STREET_AFTER, key=len, reverse=True))
-        self.addresses = [re.compile(p) for p in (
-            rf"(?:(?:apt|appt|appartement|bt|bat|batiment)\.?\s?\d{{1,3}}\s?,\s?)?{number}\s?,?\s(?:{before})\.?\s[^,،\n<>;:!?()]{{2,45}}?{to_town}",
-            rf"(?:(?:flat|apartment|apt|unit)\.?\s\d{{1,4}}\s?,\s)?{number}\s(?:[\w'’-]+\s){{1,4}}(?:{after})(?!\w)\.?{to_town}",
-            rf"(?<!\w)cite\s[^\n<>;:!?()]{{2,24}}?(?:\s?,\s?(?:bt|bat|batiment|bloc|n|no|esc|porte|appt|apt)\.?\s?°?\s?\w{{1,5}}){{1,4}}{to_town}",
-            rf"(?<!\w)(?:lot|lotissement|residence|quartier|hai|cite)\.?\s[^,،\n<>;:!?()]{{2,40}}?\sn\s?[°o]\s?\d{{1,4}}{to_town}",
-        )]
 
     def _correct(self, word: str) -> str:
         """A misspelt cue word, corrected."""
@@ -165,17 +182,18 @@ class PersonalFinder:
                 found.setdefault(kind, []).append((spans[first][0], spans[final][1]))
         return found
 
-    def find(self, text: str | None) -> list[Finding]:
-        """The personal data of a text, in order and without overlaps."""
+    def find(self, text: str | None, places: frozenset[str] | None = None) -> list[Finding]:
+        """The personal data of a text, in order and without overlaps; ``places`` stands for the own gazetteer where given."""
         if not text:
             return []
         folded = folded_same_length(text)
         anchors = self.anchors(folded)
-        got: list[Finding] = []
-        if "@" in text or re.search(r"arobase|\(a\)|\[a\]|[\[({<]at[\])}>]|\sat\s", folded):
-            got += [Finding(m.start(), m.end(), "email") for m in _EMAIL.finditer(text) if re.search(r"[A-Za-z]{2,}$", m[0])]
-        got += self._addresses(text, folded, anchors)
-        got += self._numbers(text, anchors, got)
+        for last, (kind, size) in self.marks.iter(" " + _BETWEEN.sub(" ", folded) + " "):
+            # begins lie one further right in the padded text; a blank or bracket before the zero is no part of the number
+            anchors.setdefault(f"{kind} mark", []).append((last - size, last))
+        got = self._emails(text, anchors)
+        got += self._addresses(folded, anchors, self.places if places is None else places)
+        got += self._numbers(text, folded, anchors, got)
         got += self._names(text, folded, anchors)
         out: list[Finding] = []
         for f in sorted(got, key=lambda f: (f.begin, -f.end)):
@@ -183,22 +201,80 @@ class PersonalFinder:
                 out.append(f)
         return out
 
-    def _addresses(self, text: str, folded: str, anchors: dict) -> list[Finding]:
+    def _emails(self, text: str, anchors: dict) -> list[Finding]:
+        """From each at-sign left to the begin of the local part, and from there right."""
+        out = []
+        for begin, _ in anchors.get("email mark", ()):
+            at = max(begin, 0)
+            while at and (text[at - 1] in "([" or text[at - 1].isspace()) and at > begin - 2:
+                at -= 1
+            while at and text[at - 1] in _LOCAL_CHARS:
+                at -= 1
+            m = _EMAIL.match(text, at)
+            if m and m.end() > begin and re.search(r"[A-Za-z]{2,}$", m[0]):
+                out.append(Finding(m.start(), m.end(), "email"))
+        return out
+
+    def _place_end(self, folded: str, at: int, places: frozenset[str]) -> int:
+        """The end of the longest place name that begins at a position, or -1."""
+        words, end, far = [], -1, at
+        for m in _WORDS.finditer(folded, at):
+            if len(words) == PLACE_WORDS or (m.start() != at if not words else not _PLACE_GAP.fullmatch(folded, far, m.start())):
+                break
+            words.append(m[0])
+            far = m.end()
+            if " ".join(words) in places:
+                end = far
+        return end
+
+    def _town_end(self, folded: str, at: int, places: frozenset[str]) -> int:
+        """The end of the town behind the separator at a position: a known place, else two words; -1 where there is none."""
+        m = _SEPARATOR.match(folded, at)
+        if not m:
+            return -1
+        end = self._place_end(folded, m.end(), places)
+        if end >= 0:
+            return end
+        two = _TWO_WORDS.match(folded, m.end())
+        if not two:
+            return -1
+        for w in _WORDS.finditer(folded, m.end(), min(len(folded), two.end() + 12)):
+            end = self._place_end(folded, w.start(), places)
+            if end >= 0:
+                return end
+        return two.end()
+
+    def _addresses(self, folded: str, anchors: dict, places: frozenset[str]) -> list[Finding]:
+        """From a kind of street or estate left to the house number, and right over the name to the town."""
         out = []
-        if not ("street" in anchors or "street_after" in anchors):
-            return out
-        for pattern in self.addresses:
-            for m in pattern.finditer(folded):
-                end = m.end()
-                # a town of the gazetteer ends the address, else the two words that follow
-                tail = max(folded.rfind(",", m.start(), end), folded.rfind("،", m.start(), end), folded.rfind(" - ", m.start(), end))
-                places = [t for t in self.town.finditer(folded, max(tail, m.start()), min(len(folded), end + 12))] if tail >= 0 else []
-                if places:
-                    end = places[0].end()
-                out.append(Finding(m.start(), end, "address"))
+
+        def take(begin: int, at: int) -> bool:
+            end = self._town_end(folded, at, places)
+            if end >= 0:
+                out.append(Finding(begin, end, "address"))
+            return end >= 0
+
+        for b, e in anchors.get("street", ()):
+            house = _HOUSE.search(folded, max(0, b - 60), b)
+            name = _STREET_NAME.match(folded, e) if house else None
+            while name:  # a dash may belong to the name of the street
+                if take(house.start(), name.end()):
+                    break
+                more = re.compile(r"[^,،\n<>;:!?()]{1,45}?(?=\s*[,،]|\s+-)").match(folded, name.end() + 2)
+                name = more if more and more.end() - e <= 48 else None
+        for b, e in anchors.get("street_after", ()):
+            front = _HOUSE_AND_NAME.search(folded, max(0, b - 160), b)
+            if front:
+                take(front.start(), e + (folded[e:e + 1] == "."))
+        for b, e in anchors.get("estate", ()):
+            if folded[b:e] == "cite" and (m := _BLOCKS.match(folded, e)):
+                take(b, m.end())
+            if m := _LOT.match(folded, e):
+                take(b, m.end())
         return out
 
-    def _numbers(self, text: str, anchors: dict, taken: list[Finding]) -> list[Finding]:
+    def _numbers(self, text: str, folded: str, anchors: dict, taken: list[Finding]) -> list[Finding]:
+        """Identity numbers from their labels and shapes, telephones from plus signs and zeros."""
         labels = sorted((e, kind) for kind in ("id", "other", "phone") for _, e in anchors.get(kind, ()))
         ends = [e for e, _ in labels]
         covered = bytearray(len(text))
@@ -216,15 +292,30 @@ class PersonalFinder:
                 return None
             return labels[k][1]
 
-        ids: list[Finding] = []
-        for m in _ID.finditer(text):
-            kind = label(m.start())
-            sure = _SURE_ID.fullmatch(m[0]) is not None
-            if (kind == "id" or (sure and kind not in ("other", "phone"))) and covered.find(1, m.start(), m.end()) < 0:
-                ids.append(Finding(m.start(), m.end(), "id_number"))
+        begins = set()
+        for _, e in anchors.get("id", ()):  # the first number behind the label, with the letters that begin it
+            at = re.compile(r"[^\d\n]*").match(text, e, e + _LABEL_REACH + 3).end()
+            while at > e and text[at - 1].isalpha():
+                at -= 1
+            begins.add(at)
+        if any(c.isdigit() for c in text):
+            shape = re.sub("[a-z]", "a", re.sub(r"\d", "0", folded))
+            begins |= {last - size + 1 for last, size in self.shapes.iter(shape)}
+        out = []
+        for at in sorted(begins):
+            m = _ID.match(text, at)
+            if not m or covered.find(1, m.start(), m.end()) >= 0:
+                continue
+            kind = label(at)
+            if kind == "id" or (_SURE_ID.fullmatch(m[0]) and kind not in ("other", "phone")):
+                out.append(Finding(m.start(), m.end(), "id_number"))
                 cover(m.start(), m.end())
-        out = ids
-        for m in _PHONE.finditer(text):
+        done = 0
+        for at in sorted({x for b, _ in anchors.get("phone mark", ()) for x in (b, b - 1) if x >= 0 and (x == b or text[x] == "(")}):
+            m = _PHONE.match(text, at) if at >= done else None
+            if not m:
+                continue
+            done = m.end()
             digits = sum(c.isdigit() for c in m[0])
             if not 9 <= digits <= 15 or label(m.start()) in ("other", "id") or re.match(r"00(?!\s?[1-9])", m[0]):
                 continue
@@ -286,39 +377,72 @@ def placeholders(text: str | None, findings: list[Finding]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def common_places(tables: list[tuple[DataFrame, str]], share: float = PLACE_SHARE) -> list[str]:
-    """The places that the given columns name, each with ``share`` of all mentions; counted over all rows."""
+def place_key(name: str) -> str:
+    """A place name as its folded words."""
+    return " ".join(_WORDS.findall(folded_same_length(fold(name))))
+
+
+def place_names(tables: list[tuple[DataFrame, str]]) -> DataFrame:
+    """place: the keys of all places that the given columns name."""
     named = None
     for df, column in tables:
-        one = df.select(F.trim(F.col(column)).alias("place")).where("place is not null and place <> ''")
+        one = df.select(F.col(column).cast("string").alias("place")).where("place is not null").distinct()
         named = one if named is None else named.unionByName(one)
-    counts = named.groupBy("place").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= total * share).select("place").collect()
-    return sorted({fold(r[0]) for r in rows})
+    keys = F.pandas_udf(lambda names: names.map(place_key), "string")
+    return named.distinct().select(keys("place").alias("place")).where("place <> ''").distinct()
 
 
-def found(documents: DataFrame, places: list[str], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _may_name(text: str | None) -> list[str]:
+    """Keys of all word sequences that stand near behind a kind of street or estate."""
+    if not text:
+        return []
+    folded = folded_same_length(text)
+    words = list(_WORDS.finditer(folded))
+    streets = [m.end() for m in words if m[0] in _STREETS or len(m[0]) >= 5]
+    near = [i for i, m in enumerate(words) if (k := bisect_right(streets, m.start())) and m.start() - streets[k - 1] <= 120]
+    return sorted({" ".join(w[0] for w in words[i:i + n]) for i in near for n in range(1, PLACE_WORDS + 1)})
+
+
+_STREETS = frozenset(folded_same_length(s) for s in STREET_BEFORE + STREET_AFTER + ESTATES)
+
+
+def _with_places(documents: DataFrame, places: DataFrame, most_places: int) -> tuple[DataFrame, list[str] | None]:
+    """``documents`` (doc_id, text) with the places that each may name, or the whole gazetteer where a task can hold it."""
+    rows = places.limit(most_places + 1).collect()
+    if len(rows) <= most_places:
+        return documents.withColumn("places", F.lit(None).cast("array<string>")), [r[0] for r in rows]
+    grams = F.pandas_udf(lambda texts: texts.map(_may_name), "array<string>")
+    met = documents.select("doc_id", F.explode(grams("text")).alias("place")).distinct().join(places, "place")
+    return documents.join(met.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "doc_id", "left").withColumn("places", F.coalesce("places", F.array().cast("array<string>"))), None
+
+
+def _own(places: object) -> frozenset[str] | None:
+    return None if places is None else frozenset(places)
+
+
+def found(documents: DataFrame, places: DataFrame, id_column: str = "doc_id", text_column: str = "text", most_places: int = MOST_PLACES) -> DataFrame:
     """doc_id, pii_type, pii_text of every finding; a scan, then a shuffle of the findings alone."""
+    chosen = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where("doc_id is not null")
+    chosen, gazetteer = _with_places(chosen, places, most_places)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = PersonalFinder(places)
+        finder = PersonalFinder(gazetteer or ())
         for frame in frames:
             rows = []
-            for d, t in zip(frame["doc_id"], frame["text"]):
+            for d, t, own in zip(frame["doc_id"], frame["text"], frame["places"]):
                 if isinstance(t, str):
-                    rows += sorted({(d, f.kind, t[f.begin:f.end]) for f in finder.find(t)})
+                    rows += sorted({(d, f.kind, t[f.begin:f.end]) for f in finder.find(t, _own(own))})
             yield pd.DataFrame(rows, columns=["doc_id", "pii_type", "pii_text"])
 
-    chosen = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where("doc_id is not null")
     return chosen.mapInPandas(scan, "doc_id long, pii_type string, pii_text string").distinct()
 
 
-def redacted(documents: DataFrame, places: list[str], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def redacted(documents: DataFrame, places: DataFrame, id_column: str = "doc_id", text_column: str = "text", most_places: int = MOST_PLACES) -> DataFrame:
     """Every row's id with its text in which typed placeholders stand for the findings."""
+    chosen, gazetteer = _with_places(documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), places, most_places)
 
-    def replace(texts: pd.Series) -> pd.Series:
-        finder = PersonalFinder(places)
-        return texts.map(lambda t: placeholders(t, finder.find(t)) if isinstance(t, str) else None)
+    def replace(texts: pd.Series, own: pd.Series) -> pd.Series:
+        finder = PersonalFinder(gazetteer or ())
+        return pd.Series([placeholders(t, finder.find(t, _own(o))) if isinstance(t, str) else None for t, o in zip(texts, own)], dtype=object)
 
-    return documents.select(F.col(id_column), F.pandas_udf(replace, "string")(F.col(text_column)).alias("text"))
+    return chosen.select(F.col("doc_id").alias(id_column), F.pandas_udf(replace, "string")("text", "places").alias("text"))

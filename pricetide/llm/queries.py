@@ -63,8 +63,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
 
-def _places(spark: SparkSession, d: str) -> list[str]:
-    return personal.common_places([(read(spark, d, "product_listings"), "location"), (read(spark, d, "scrape_results"), "location")])
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    return personal.place_names([(read(spark, d, "product_listings"), "location"), (read(spark, d, "scrape_results"), "location")])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

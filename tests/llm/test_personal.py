@@ -19,7 +19,7 @@ CASES = [
     ("107 bis, chemin Larbi-Zeroug - Dar Guemra par", [("address", "107 bis, chemin Larbi-Zeroug - Dar Guemra")]), ("lot. El Nakhla n°38, Dar Guemra.", [("address", "lot. El Nakhla n°38, Dar Guemra")]), ("Livraison vers Dar Guemra en 5 jours", []), ("Le modèle BD-22386 existe", []),
     ("Demandez M. Claire Zerrizel au comptoir.", [("name", "Claire Zerrizel")]), ("Demandez M. M. Zerrizel au comptoir.", [("name", "M. Zerrizel")]), ("vendue par Priya A. Gueskarif, très", [("name", "Priya A. Gueskarif")]), ("Sold by BOUNIZEL Sonia, trustworthy", [("name", "BOUNIZEL Sonia")]),
     ("Signé : Hind MESKZAOURT Le vendeur", [("name", "Hind MESKZAOURT")]), ("البائع أمال بن زريف محترم جدا.", [("name", "أمال بن زريف")]), ("Vendue comme neuve par Lazurel Store, mais", []), ("Contact sonia tirkarif <a.b@c.example>", [("name", "sonia tirkarif"), ("email", "a.b@c.example")]), ("Regards, owen boufanour", [("name", "owen boufanour")]),
-    ("", []), (None, []),
+    ("Voici le 220 579 105 520 893 799 merci", [("id_number", "220 579 105 520 893 799")]), ("", []), (None, []),
 ]
 
 
@@ -35,14 +35,37 @@ def test_placeholders():
 
 
 def test_tables(spark):
+    none = spark.createDataFrame([], 'place string')
     docs = spark.createDataFrame([(1, "Tél 0601-005-106 et 0601-005-106"), (1, "Tél 0601-005-106 et 0601-005-106"), (2, None), (3, ""), (None, "Tél 0601-005-106"), (4, "x" * 200_000), (5, "0601-005-106 rue " * 3_000)], "doc_id long, text string").withColumns({"pii_type": F.lit("clash"), "pii_text": F.lit(1)})
-    got = {tuple(r) for r in pe.found(docs, []).collect()}
+    got = {tuple(r) for r in pe.found(docs, none).collect()}
     assert got == {(1, "phone", "0601-005-106"), (5, "phone", "0601-005-106")}
-    assert {r["doc_id"]: r["text"] for r in pe.redacted(docs.where("doc_id < 4"), []).collect()} == {1: "Tél [PHONE] et [PHONE]", 2: None, 3: ""}
-    assert pe.found(docs.limit(0), []).count() == 0
+    assert {r["doc_id"]: r["text"] for r in pe.redacted(docs.where("doc_id < 4"), none).collect()} == {1: "Tél [PHONE] et [PHONE]", 2: None, 3: ""}
+    assert pe.found(docs.limit(0), none).count() == 0
 
 
 def test_places(spark):
-    df = spark.createDataFrame([("Dar Guemra",)] * 60 + [("Aïn Tazrout",)] * 40 + [(None,), ("",)], "location string")
-    assert pe.common_places([(df, "location")]) == ["ain tazrout", "dar guemra"]
-    assert pe.common_places([(df.limit(0), "location")]) == []
+    df = spark.createDataFrame([("Dar Guemra",)] * 60 + [("Aïn Tazrout",), ("DAR-GUEMRA",), (None,), ("",)], "location string")
+    assert sorted(r[0] for r in pe.place_names([(df, "location")]).collect()) == ["ain tazrout", "dar guemra"]
+    assert pe.place_names([(df.limit(0), "location")]).count() == 0
+
+
+def test_a_long_gazetteer_gives_the_same(spark):
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(CASES)] + [(900, "11 rue X Y, Grand Dar Guemra Est"), (901, None)], "doc_id long, text string")
+    places = spark.createDataFrame([("dar guemra",), ("ain tazrout",), ("grand dar guemra est",), ("elsewhere",)], "place string")
+    short, long = ({tuple(r) for r in pe.found(docs, places, most_places=n).collect()} for n in (100, 2))
+    assert short == long and (900, "address", "11 rue X Y, Grand Dar Guemra Est") in short
+    assert len(short) == sum(len(set(want)) for _, want in CASES) + 1
+    assert sorted(map(tuple, pe.redacted(docs, places).collect())) == sorted(map(tuple, pe.redacted(docs, places, most_places=2).collect()))
+
+
+@pytest.mark.parametrize("automaton, kinds", [("marks", {"email", "phone"}), ("shapes", {"id_number"}), ("cues", {"id_number", "address", "name"})])
+def test_findings_come_from_the_anchors(automaton, kinds):
+    """Each automaton emptied takes the findings of its anchors away."""
+    full = [f.kind for text, _ in CASES for f in FINDER.find(text)]
+    bare = pe.PersonalFinder(["dar guemra", "ain tazrout", "oued mirzane"])
+    empty = pe.ahocorasick.Automaton()
+    empty.add_word("\x00", ("", 1) if automaton != "shapes" else 1)
+    empty.make_automaton()
+    setattr(bare, automaton, empty)
+    left = [f.kind for text, _ in CASES for f in bare.find(text)]
+    assert all(left.count(k) < full.count(k) for k in kinds)
