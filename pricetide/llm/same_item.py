@@ -5,9 +5,10 @@ trusted (a reference brand, a line, a model number).  Brands and lines are found
 in every text by one Aho-Corasick automaton, of overlapping hits the longest
 counts, and the hit is completed with the model number beside it; a text without
 a brand takes the one that the dictionary holds for its line, model and kind of
-attributes.  What remains is the variant: attributes in canonical units.  Texts
-of one phrase fall together where no attribute differs; a text that lacks an
-attribute belongs to a variant only if exactly one agrees with it.
+attributes.  What remains is the variant: attributes in canonical units.  The
+variants of a phrase are its largest attribute sets, those that no other set of
+the phrase contains; a text that says less belongs to a variant only if exactly
+one agrees with it.
 
 All comparisons run over distinct attribute sets of a phrase, never over its
 rows, so a phrase that holds a third of all rows costs no more than another.
@@ -29,6 +30,10 @@ from pricetide.llm.product_phrases import PhraseReader, mine_lines, specs_text
 from pricetide.session import checkpointed
 
 
+#: A kind of attribute that fewer of the texts of a phrase state is a stray reading.
+KIND_SHARE = 0.05
+
+
 def entries(clean_products: DataFrame, scrape_results: DataFrame) -> DataFrame:
     """Both tables as one: entry_id, seller, title, specs, typed_brand."""
     a = clean_products.select(
@@ -88,15 +93,23 @@ def groups(entries_: DataFrame, brands: list[str], lines: list[str]) -> DataFram
     keyed = read.select("entry_id", "seller", "brand", F.coalesce("line", F.when(F.col("model").isNotNull(), F.lit("-"))).alias("line"), "model", flat.alias("facts"))
     key = ["brand", "line", "model"]
     told = keyed.where("brand is not null and line is not null and model is not null")
-    sets = checkpointed(told.select(*key, "facts").distinct())
+    counted = checkpointed(told.groupBy(*key, "facts").agg(F.count("*").alias("n")))
     kind = lambda f: F.transform(f, lambda x: F.substring_index(x, "=", 1))
-    kinds = sets.select(*key, F.explode(kind(F.col("facts"))).alias("kind")).groupBy(*key).agg(F.countDistinct("kind").alias("n_kinds"))
-    sized = sets.join(kinds, key, "left").withColumn("full", F.size("facts") == F.coalesce("n_kinds", F.lit(0)))
-    full = sized.where("full").select(*key, F.col("facts").alias("variant"))
-    agree = F.size(F.array_intersect(kind(F.col("facts")), kind(F.col("variant")))) == F.size(F.array_intersect("facts", "variant"))
-    partial = sized.where("not full").select(*key, "facts").join(full, key).where(agree)
-    placed = partial.groupBy(*key, "facts").agg(F.count("*").alias("n"), F.first("variant").alias("variant")).where("n = 1").select(*key, "facts", "variant")
-    variants = full.select(*key, F.col("variant").alias("facts"), "variant").unionByName(placed)
+    total = counted.groupBy(*key).agg(F.sum("n").alias("total"))
+    stating = counted.select(*key, "n", F.explode(kind(F.col("facts"))).alias("kind")).groupBy(*key, "kind").agg(F.sum("n").alias("n"))
+    common = stating.join(total, key).where(F.col("n") >= F.col("total") * KIND_SHARE).groupBy(*key).agg(F.collect_set("kind").alias("kinds"))
+    # stray readings of a kind that hardly any text of the phrase states tell nothing apart
+    usual = F.filter("facts", lambda x: F.array_contains(F.coalesce("kinds", F.array().cast("array<string>")), F.substring_index(x, "=", 1)))
+    kept = checkpointed(counted.join(common, key, "left").select(*key, "facts", usual.alias("usual")))
+    sets = kept.select(*key, "usual").distinct()
+    wider = sets.withColumnRenamed("usual", "wide")
+    inside = sets.join(wider, key).where((F.size("wide") > F.size("usual")) & (F.size(F.array_except("usual", "wide")) == 0)).select(*key, "usual").distinct()
+    full = checkpointed(sets.join(inside, [*key, "usual"], "left_anti").select(*key, F.col("usual").alias("variant")))
+    agree = F.size(F.array_intersect(kind(F.col("usual")), kind(F.col("variant")))) == F.size(F.array_intersect("usual", "variant"))
+    partial = inside.join(full, key).where(agree)
+    placed = partial.groupBy(*key, "usual").agg(F.count("*").alias("n"), F.first("variant").alias("variant")).where("n = 1").select(*key, "usual", "variant")
+    whole = full.select(*key, F.col("variant").alias("usual"), "variant").unionByName(placed)
+    variants = kept.join(whole, [*key, "usual"]).select(*key, "facts", "variant")
     item = F.concat_ws(" ", "brand", "line", "model", F.array_join("variant", " "))
     found = told.join(variants, [*key, "facts"], "left").select("entry_id", "seller", F.when(F.col("variant").isNotNull(), item).alias("item"))
     unread = keyed.where("brand is null or line is null or model is null").select("entry_id", "seller", F.lit(None).cast("string").alias("item"))

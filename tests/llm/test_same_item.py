@@ -64,3 +64,35 @@ def test_data(spark, data):
     told = items.join(read("scrape_results").select(F.col("result_id").alias("entry_id"), slug.alias("slug")), "entry_id").where("slug <> ''")
     assert told.count() > 10 and told.where("item is null").count() == 0
     assert told.groupBy("slug").agg(F.countDistinct("item").alias("n")).where("n > 1").count() == 0
+
+
+def test_a_stray_attribute_takes_no_variant_away(spark):
+    rows = [(i, f"s{i}", "Velmora Granix 1001 16GB 3200MHz", None, None) for i in range(1, 30)] + [(i, f"s{i}", "Velmora Granix 1001 32GB 3200MHz", None, None) for i in range(30, 60)]
+    rows += [(70, "x", "Velmora Granix 1001 16GB 3200MHz noir", None, None), (71, "y", "Velmora Granix 1001 32GB", None, None), (72, "z", "Velmora Granix 1001 3200MHz", None, None)]
+    item = {r["entry_id"]: r["item"] for r in grouped(spark, rows).collect()}
+    assert item[70] == item[1] != item[30] == item[71] and item[72] is None
+
+
+def test_a_stray_attribute_of_a_rare_item(spark):
+    rows = [(1, "A", "Velmora Granix 1001 16GB 3200MHz", None, None), (2, "B", "Velmora Granix 1001 32GB 3200MHz", None, None), (3, "C", "Velmora Granix 1001 32GB 3200MHz", None, None), (4, "D", "Velmora Granix 1001 16GB noir", None, None)]
+    item = {r["entry_id"]: r["item"] for r in grouped(spark, rows).collect()}
+    assert item[2] == item[3] and item[1] is not None and item[1] != item[2]
+
+
+@pytest.mark.parametrize("title, line, model", [("Intel Core i7-13700K", "core", "i713700k"), ("AMD Ryzen 5 5600X", "ryzen 5", "5600x"), ("MSI GeForce RTX 4070 Ti", "geforce rtx", "4070 ti"), ("MSI MAG B650 Tomahawk", "mag", "b650"), ("Corsair RM850e 850W", "rm", "rm850e"), ("Samsung 870 EVO 1TB SATA", None, "870 evo")])
+def test_models_of_any_shape(spark, title, line, model):
+    brands = ["intel", "amd", "msi", "corsair", "samsung"]
+    r = PhraseReader(brands, LINES).read(title)
+    assert (r.line, r.model) == (line, model)
+
+
+def test_articles_get_items(spark):
+    df = spark.createDataFrame([(1, "A", "Samsung 870 EVO 1TB SATA", None, None), (2, "B", "PROMO Samsung 870 EVO 1 To SATA neuf", None, None), (3, "C", "MSI MAG B650 Tomahawk", None, None), (4, "D", "MSI MAG B650 Mortar", None, None)], SCHEMA)
+    item = {r["entry_id"]: r["item"] for r in si.groups(df, ["samsung", "msi"], []).collect()}
+    assert item[1] == item[2] is not None and item[3] != item[4] and None not in item.values()
+
+
+def test_a_line_with_one_listing_is_mined(spark):
+    from pricetide.llm.product_phrases import mine_lines
+    df = spark.createDataFrame([("Velmora Granix 1001",)] * 2000 + [("Velmora Solitar 1002",), ("Velmora Granx 1003",), (None,)], "n string")
+    assert mine_lines(df, "n", BRANDS) == ["granix", "solitar"]
