@@ -13,11 +13,12 @@ longest continuous stretch decides: it may be broken only by single words, and
 must hold at least a third of the item's words.
 
 The item set is small beside the corpus and its pattern table is held by every
-task; a larger set is searched in shards of ``MOST_ITEMS`` items, one pass each.
+task; a larger set is searched in shards of ``MOST_ITEMS`` items, one pass each, of
+which the driver and the tasks hold one at a time.
 Documents are never shuffled.
 
 Defined results: null, empty and blank documents or items leak nothing; an item
-shorter than a pattern is searched as a whole; one of which a third is shorter must
+shorter than a pattern is searched as a whole, at word boundaries; one of which a third is shorter must
 share a whole pattern of ``LENGTH`` letters; repeated rows count once.
 """
 
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.words import IGNORABLE
+from pricetide.session import checkpointed
 
 LENGTH = 20
 BLOCK = 5
@@ -50,11 +52,14 @@ _MARKS = re.compile("[̀-ͯ]")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def unmarked(text: str) -> str:
+    """A text with its character references resolved and without mark-up."""
+    return _TAG.sub(" ", html.unescape(text) if "&" in text else text)
+
+
 def words_of(text: str) -> list[str]:
     """The words of a text without mark-up, case, accents and punctuation."""
-    if "&" in text:
-        text = html.unescape(text)
-    text = IGNORABLE.sub("", _TAG.sub(" ", text))
+    text = IGNORABLE.sub("", unmarked(text))
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("œ", "oe").replace("Œ", "oe").replace("’", "'")
     return _WORD.findall(text.lower())
@@ -101,7 +106,7 @@ class Item:
         self.item_id = item_id
         self.words: list[str] = []
         self.token: list[int] = []
-        tokens = text.split()
+        tokens = unmarked(text).split()
         for i, t in enumerate(tokens):
             for w in words_of(t):
                 self.words.append(w)
@@ -162,11 +167,11 @@ class LeakFinder:
         self.items = {i: Item(i, t) for i, t in items}
         patterns: dict[str, list[tuple[int, int]]] = {}
         runs: dict[str, list[tuple[int, int]]] = {}
-        self.short: list[tuple[int, str]] = []
+        short: dict[str, list[tuple[int, int]]] = {}
         for item in self.items.values():
             stream, at = "".join(item.words), 0
             if stream and len(stream) < LENGTH:
-                self.short.append((item.item_id, f" {' '.join(item.words)} "))
+                short.setdefault(stream, []).append((item.item_id, 0))
             for i, w in enumerate(item.words):
                 run = sum(map(len, item.words[i:i + item.run]))
                 if run < LENGTH and i + item.run <= len(item.words) and len(stream) * LEAST_SHARE >= LENGTH:
@@ -177,6 +182,8 @@ class LeakFinder:
         self.search = WuManber(patterns)
         least = min(map(len, runs), default=LENGTH)
         self.search_runs = WuManber(runs, least, min(BLOCK, least))
+        least = min(map(len, short), default=LENGTH)
+        self.search_short = WuManber(short, least, min(BLOCK, least))
 
     def leaks(self, text: str | None) -> list[int]:
         """The items of which at least a third stands in ``text``."""
@@ -194,9 +201,9 @@ class LeakFinder:
                 for item_id, i in search.patterns[pattern]:
                     hits.setdefault(item_id, set()).add((i, begin))
         found = []
-        if self.short:
-            spaced = f" {' '.join(words)} "
-            found = [i for i, s in self.short if s in spaced]
+        for begin, pattern in self.search_short.find(stream):
+            at = bisect_left(starts, begin)
+            found += [i for i, _ in self.search_short.patterns[pattern] if words[at:at + len(self.items[i].words)] == self.items[i].words and starts[at] == begin]
         for item_id, hit in hits.items():
             item = self.items[item_id]
             # one pattern is enough where the words around it go on agreeing; many are aligned unasked
@@ -217,8 +224,8 @@ def leaked(documents: DataFrame, items: DataFrame, most_items: int = MOST_ITEMS)
     known = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     n = known.count()
     result = None
-    for shard in range(max(1, -(-n // most_items))):
-        shards = -(-n // most_items)
+    shards = -(-n // most_items)
+    for shard in range(max(1, shards)):
         part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard) if shards > 1 else known
         held = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
 
@@ -228,6 +235,9 @@ def leaked(documents: DataFrame, items: DataFrame, most_items: int = MOST_ITEMS)
                 rows = [(d, i) for d, t in zip(frame["doc_id"], frame["text"]) for i in finder.leaks(t if isinstance(t, str) else None)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
 
-        one = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(find, "doc_id long, item_id long")
-        result = one if result is None else result.unionByName(one)
+        scanned = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(find, "doc_id long, item_id long")
+        if shards > 1:
+            scanned = checkpointed(scanned)
+            held.destroy()
+        result = scanned if result is None else result.unionByName(scanned)
     return result.distinct()

@@ -6,8 +6,8 @@ go.  Then every word is a lattice: each position offers all letters drawn like
 the one that stands there.  A Viterbi search takes the path with the best
 character n-gram score under a model that keeps a word in one script; the
 n-grams are counted over all words of the corpus.  Where only one script can
-spell the word, the path is plain without a search.  As the lattice depends only on how the word looks, words that look the same always
-come out the same, and a word truly written in another script keeps its script.
+spell the word, the path is plain without a search.  As the lattice depends only on how the word
+looks, words that look the same always come out the same, and a word truly written in another script keeps its script.
 
 Letter case, accents, wording, other notations and signs such as (tm), squares
 and fractions are visible and stay.  Null gives null, an empty or blank text the
@@ -28,18 +28,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.words import IGNORABLE, LOOKALIKES
+from pricetide.session import checkpointed
 
 #: Cost of changing the script within a word, in nats.
 SWITCH_COST = 30.0
 #: Of equal paths the one wins whose letters come first in their classes, Latin before all.
 TIE_COST = 0.001
-#: Letters counted for the model end here, so it has at most as many pairs as these code points allow.
+#: Letters beyond this one that have no doubles are counted as their script, which bounds the pairs of the model.
 LAST_LETTER = 0x58F
 
 _BLANKS = re.compile(r"\s+")
 _HYPHENS = str.maketrans({"‐": "-", "‑": "-", "﹣": "-", "－": "-"})
 #: Kinds of compatibility decomposition that leave the look of a character unchanged.
-_SAME_LOOK = ("<wide>", "<noBreak>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>")
+_SAME_LOOK = ("<wide>", "<noBreak>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<font>")
 
 
 def _plain_char(c: str) -> str:
@@ -66,6 +67,8 @@ def script(c: str) -> str:
                 return name
         if 0x13A0 <= n <= 0x13FF:
             return "cherokee"
+        if 0xA4D0 <= n <= 0xA4FF:
+            return "lisu"
         if 0x1F00 <= n <= 0x1FFF:
             return "greek"
         if 0x1E00 <= n <= 0x1EFF:
@@ -98,6 +101,12 @@ def _spread(c: str) -> str:
     return parts if len(parts) > 1 and parts[0] in _CLASS else c
 
 
+@lru_cache(maxsize=None)
+def symbol(c: str) -> str:
+    """What stands for a letter in the model: itself, or its script."""
+    return c if ord(c) <= LAST_LETTER or c in _CLASS else script(c)
+
+
 class Unifier:
     """Viterbi search over look-alike lattices; ``pairs`` holds the counts of letter pairs."""
 
@@ -109,6 +118,7 @@ class Unifier:
         self.cache: OrderedDict[str, str] = OrderedDict()
 
     def score(self, a: str, b: str) -> float:
+        a, b = symbol(a), symbol(b)
         return math.log((self.pairs.get((a, b), 0) + 0.1) / (self.first.get(a, 0) + 10.0))
 
     def word(self, word: str) -> str:
@@ -133,11 +143,11 @@ class Unifier:
         return done
 
     def _search(self, word: str, allowed: frozenset[str]) -> str:
-        # a state is (letter, script in force); signs without a script carry the script on
-        paths: dict[tuple[str, str], tuple[float, str]] = {("^", ""): (0.0, "")}
+        # a state is (letter, script in force); signs without a script carry the script on; a path is its last letter and the path before
+        paths: dict[tuple[str, str], tuple[float, tuple | None]] = {("^", ""): (0.0, None)}
         for c in word:
-            after: dict[tuple[str, str], tuple[float, str]] = {}
-            for (last, now), (total, text) in paths.items():
+            after: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+            for (last, now), (total, path) in paths.items():
                 for place, letter in enumerate(_CLASS.get(c, (c,))):
                     kind = script(letter)
                     if kind and allowed and kind not in allowed:
@@ -145,11 +155,15 @@ class Unifier:
                     cost = total + (self.score(last, letter) if kind else 0.0) - (SWITCH_COST if kind and now and kind != now else 0.0)
                     cost -= TIE_COST * place
                     key = (letter if kind else "^", kind or now)
-                    old = after.get(key)
-                    if old is None or (cost, text + letter) > old:
-                        after[key] = (cost, text + letter)
+                    if key not in after or cost > after[key][0]:
+                        after[key] = cost, (letter, path)
             paths = after
-        return max(paths.values())[1]
+        _, path = max(paths.values(), key=lambda p: p[0])
+        letters = []
+        while path is not None:
+            letters.append(path[0])
+            path = path[1]
+        return "".join(reversed(letters))
 
     def text(self, text: str | None) -> str | None:
         if text is None:
@@ -160,8 +174,8 @@ class Unifier:
 def letter_pairs(texts: DataFrame, columns: list[str]) -> dict[tuple[str, str], int]:
     """How often letters follow each other within one script, over all words of the columns.
 
-    Counted on the executors; only letters up to ``LAST_LETTER`` enter, which
-    bounds what comes to the driver.
+    Counted on the executors; letters enter by their ``symbol``, which bounds what
+    comes to the driver.
     """
     schema = "a string, b string, n long"
     chosen = texts.select(*[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(columns)])
@@ -178,11 +192,10 @@ def letter_pairs(texts: DataFrame, columns: list[str]) -> dict[tuple[str, str],
                         for c in word:
                             if not script(c):
                                 last = "^"
-                            elif ord(c) <= LAST_LETTER:
-                                seen[last, c] = seen.get((last, c), 0) + 1
-                                last = c
                             else:
-                                last = "^"
+                                s = symbol(c)
+                                seen[last, s] = seen.get((last, s), 0) + 1
+                                last = s
         yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["a", "b", "n"])
 
     rows = chosen.mapInPandas(count, schema).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
@@ -207,6 +220,26 @@ def _or_mark(c: Column) -> Column:
     return F.coalesce(c, F.lit("\x00"))
 
 
+def _looks(results: DataFrame) -> DataFrame:
+    """result_id, look, look_check, form of each reading: its page and how it looks, and how it is stored.  Cut, as the search is dear."""
+    rows = unified(results.select("result_id", "source", "url", "title", "price").where("source is not null and url is not null"), ["title", "price"])
+    return checkpointed(rows.select(
+        "result_id",
+        F.xxhash64("source", "url", _or_mark(F.col("title_plain")), _or_mark(F.col("price_plain"))).alias("look"),
+        F.sha2(F.to_json(F.struct("source", "url", "title_plain", "price_plain")), 256).alias("look_check"),
+        F.sha2(F.concat_ws("\x01", F.coalesce("title", F.lit("\x00")), F.coalesce("price", F.lit("\x00"))), 256).alias("form"),
+    ).distinct())
+
+
+def look_classes(results: DataFrame) -> DataFrame:
+    """result_id, class_id, n_links: the smallest reading of the page that looks the same, and how many of those are stored otherwise."""
+    rows = _looks(results)
+    by_form = rows.groupBy("look", "look_check", "form").agg(F.min("result_id").alias("low"), F.count("*").alias("n"))
+    classes = by_form.groupBy("look", "look_check").agg(F.min("low").alias("class_id"), F.sum("n").alias("total"))
+    sized = by_form.join(classes, ["look", "look_check"]).select("look", "look_check", "form", "class_id", (F.col("total") - F.col("n")).alias("n_links"))
+    return rows.join(sized, ["look", "look_check", "form"]).select("result_id", "class_id", "n_links")
+
+
 def same_looking_pairs(results: DataFrame) -> DataFrame:
     """result_id_a, result_id_b of readings of one page that look the same but are stored otherwise.
 
@@ -214,13 +247,7 @@ def same_looking_pairs(results: DataFrame) -> DataFrame:
     page and look, and only then expanded to the readings, so identical copies
     never meet each other.
     """
-    rows = unified(results.select("result_id", "source", "url", "title", "price").where("source is not null and url is not null"), ["title", "price"])
-    rows = rows.select(
-        "result_id",
-        F.xxhash64("source", "url", _or_mark(F.col("title_plain")), _or_mark(F.col("price_plain"))).alias("look"),
-        F.sha2(F.to_json(F.struct("source", "url", "title_plain", "price_plain")), 256).alias("look_check"),
-        F.sha2(F.concat_ws("\x01", F.coalesce("title", F.lit("\x00")), F.coalesce("price", F.lit("\x00"))), 256).alias("form"),
-    ).distinct()
+    rows = _looks(results)
     forms = rows.select("look", "look_check", "form").distinct()
     other = forms.select("look", "look_check", F.col("form").alias("form_b"))
     pairs = forms.withColumnRenamed("form", "form_a").join(other, ["look", "look_check"]).where("form_a < form_b")

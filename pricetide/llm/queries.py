@@ -23,6 +23,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.same_looking_pairs(read(spark, d, "scrape_results"))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every reading with the class of those that look like it and its number of links; no pair is spelled out."""
+    return lookalikes.look_classes(read(spark, d, "scrape_results"))
+
+
 def p2_consistent(spark: SparkSession, d: str) -> DataFrame:
     """Every reading with its title and price in their consistent form."""
     rows = lookalikes.unified(read(spark, d, "scrape_results").select("result_id", "title", "price"), ["title", "price"])
@@ -77,7 +82,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p2_found, p2_consistent, p3_found, p3_unmatched, p4_found, p4_groups, p6_found, p7_ids, p8_found, p9_found, p9_redacted)
+    named = (p1_found, p2_found, p2_classes, p2_consistent, p3_found, p3_unmatched, p4_found, p4_groups, p6_found, p7_ids, p8_found, p9_found, p9_redacted)
     return {f.__name__: f for f in named}
 
 

@@ -4,7 +4,9 @@ The names of the entries (value, other-language name, and the words of a name
 in another order) stand in a BK-tree under the unrestricted Damerau-Levenshtein
 metric.  A typed value and its runs of words are looked up; the triangle
 inequality prunes the tree, every entry within the threshold is returned, and
-the closest wins.  Abbreviations and hosts must agree exactly.
+the closest wins.  Besides words that shops put around a name, a value may hold
+one word more than the name, which weighs like an edit.  Hosts must agree exactly;
+a value that is no entry and ends in a full stop may be the begin of a name.
 
 A reference list up to ``MOST_BROADCAST`` names is one tree that every task
 holds; a longer one is cut into shards, each value meets each shard in its own
@@ -18,6 +20,7 @@ two entries get ref_id 0.  Repeated rows of one id count once.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,8 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.llm.words import damerau, fold
+from pricetide.session import checkpointed
 
 MOST_BROADCAST = 50_000
+#: Ranks of beginnings of a name, spelled exactly or with one edit: behind every other match.
+BEGINNING, MISSPELT_BEGINNING = (50, 0), (51, 0)
 #: Distinct typed values that meet a shard in one task.
 VALUES_PER_TASK = 20_000
 #: Edits allowed: one for a name of four to six letters, two from seven on; none below.
@@ -84,7 +90,9 @@ class Matcher:
     """One shard of the reference list of one kind."""
 
     def __init__(self, entries: list[tuple[int, str, str | None, str | None]]):
-        self.tree, self.exact, self.prefixes, self.longest = BKTree(), {}, {}, 0
+        self.tree, self.exact, self.longest = BKTree(), {}, 0
+        self.beginnings: dict[str, set[int]] = {}
+        self.begin_trees: dict[int, BKTree] = {}
         for ref_id, value, alt, code in entries:
             for name in (value, alt):
                 words = re.findall(r"[^\W_]+", fold(name))
@@ -93,8 +101,11 @@ class Matcher:
                     self.exact.setdefault(key, set()).add(ref_id)
                     self.tree.add(key, ref_id)
                     self.longest = max(self.longest, len(key))
-                if len(words) > 1:
-                    self.prefixes["".join(words)] = (ref_id, len(words[0]))
+                joined = "".join(words)
+                for size in range(len(words[0]) + 1, len(joined) + 1) if len(words) > 1 else ():
+                    self.beginnings.setdefault(joined[:size], set()).add(ref_id)
+                    if size > len(words[0]) + 1:
+                        self.begin_trees.setdefault(size, BKTree()).add(joined[:size], ref_id)
             if code and squeezed(fold(code)):
                 self.exact.setdefault(squeezed(fold(code)), set()).add(ref_id)
 
@@ -120,7 +131,7 @@ class Matcher:
         foreign = [0]
         for w in words:
             foreign.append(foreign[-1] + (w not in SIDE_WORDS))
-        runs = [(0, n)] if single else sorted(((i, j) for i in range(n) for j in range(i + 1, n + 1) if j - i <= 6), key=lambda r: r[0] - r[1])
+        runs = [(0, n)] if single else sorted(self._runs(words), key=lambda r: r[0] - r[1])
         for i, j in runs:
             # dropping a word of unknown meaning weighs like an edit
             dropped, outside = foreign[n] - foreign[j] + foreign[i], n - (j - i)
@@ -138,11 +149,33 @@ class Matcher:
                     if d <= edits_for(name):
                         take((d + dropped, outside), {ref_id})
         if best == NO_MATCH and fold(typed).endswith(".") and len(whole) >= 5:
-            ids = {ref_id for name, (ref_id, first) in self.prefixes.items() if name.startswith(whole) and len(whole) > first}
-            ids = ids or {ref_id for name, (ref_id, first) in self.prefixes.items() if len(whole) > first + 1 and damerau(name[:len(whole)], whole) <= 1}
-            if ids:
-                take((1, 0), ids)
-        return best, sorted(entries)
+            take(BEGINNING, self.beginnings.get(whole, set()))
+            if not entries and len(whole) in self.begin_trees:
+                best = NO_MATCH
+                take(MISSPELT_BEGINNING, {ref_id for _, _, ref_id in self.begin_trees[len(whole)].within(whole, 1)})
+        return (best, sorted(entries)) if entries else (NO_MATCH, [])
+
+    def _runs(self, words: list[str]) -> Iterator[tuple[int, int]]:
+        """Runs of words that are not longer than the longest name may be."""
+        for i in range(len(words)):
+            size = 0
+            for j in range(i, len(words)):
+                size += len(words[j])
+                if size > self.longest + MOST_EDITS:
+                    break
+                yield i, j + 1
+
+
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def _matcher(key: str, entries: list[tuple[int, str, str | None, str | None]]) -> Matcher:
+    """The trees of a list of entries, built once in each process."""
+    if key not in _MATCHERS:
+        if len(_MATCHERS) >= 8:
+            _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(entries)
+    return _MATCHERS[key]
 
 
 def _entries(ref: DataFrame) -> list[tuple[int, str, str | None, str | None]]:
@@ -164,14 +197,15 @@ def mapped_values(values: DataFrame, ref: DataFrame, most_broadcast: int = MOST_
         return pd.DataFrame(out, columns=["value", "edits", "dropped", "ref_id", "entries"])
 
     if size <= most_broadcast:
-        held = spark.sparkContext.broadcast(_entries(ref))
+        held, key = spark.sparkContext.broadcast(_entries(ref)), uuid.uuid4().hex
 
         def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(held.value)
+            matcher = _matcher(key, held.value)
             for frame in frames:
                 yield rows_of(matcher, frame["value"])
 
-        found = values.select("value").mapInPandas(one, schema)
+        # spread by number: the search costs far more than the bytes of the values tell
+        found = values.select("value").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "value").mapInPandas(one, schema)
     else:
         shards = -(-ref.count() // most_broadcast)
         parts = ref.select("ref_id", "value", "alt_value", "short_code", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).alias("shard"))
@@ -186,6 +220,7 @@ def mapped_values(values: DataFrame, ref: DataFrame, most_broadcast: int = MOST_
             return rows_of(Matcher(list(zip(rows["ref_id"], rows["value"], rows["alt_value"], rows["short_code"]))), typed["value"])
 
         found = pieces.groupBy("shard", "salt").cogroup(parts.groupBy("shard", "salt")).applyInPandas(both, schema)
+    found = checkpointed(found)
     best = found.where("entries > 0").groupBy("value").agg(F.min(F.struct("edits", "dropped", "entries", "ref_id")).alias("w"), F.min_by(F.struct("edits", "dropped"), F.struct("edits", "dropped")).alias("r"))
     ties = found.where("entries > 0").join(best, "value").where("edits = r.edits and dropped = r.dropped").groupBy("value").agg(F.min("ref_id").alias("low"), F.max("ref_id").alias("high"), F.max("entries").alias("most"))
     sure = ties.where("low = high and most = 1").select("value", F.col("low").alias("ref_id"))

@@ -71,3 +71,9 @@ def test_search_finds_what_a_scan_finds():
         patterns = {stream[i:i + 8]: [(0, 0)] for i in r.sample(range(590), 5)} | {"".join(r.choice("abc") for _ in range(8)): [(0, 0)] for _ in range(5)}
         found = sorted(leaks.WuManber(patterns, 8, 3).find(stream))
         assert found == sorted((i, stream[i:i + 8]) for i in range(593) if stream[i:i + 8] in patterns)
+
+
+def test_short_items_and_marked_up_items():
+    f = leaks.LeakFinder([(1, "short item"), (2, "ab"), (3, "b"), (4, '<a href="x y">' + text(3, 40) + "</a> &amp; more")])
+    assert f.leaks("A short, item.") == [1] and f.leaks("a short itemised") == [] and f.leaks("cab b") == [3] and f.leaks("x ab") == [2] and f.leaks("a b") == [3]
+    assert f.leaks("some " + text(3, 40)) == [4] and f.items[4].n_tokens == 42

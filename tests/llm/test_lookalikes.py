@@ -64,3 +64,20 @@ def test_pairs(spark):
 def test_empty_and_long(spark):
     assert pairs(spark, []) == []
     assert pairs(spark, [(1, "s", "u", "о" * 100_000, ""), (2, "s", "u", "o" * 100_000, "")]) == [(1, 2)]
+
+
+def test_classes_hold_the_links_of_the_pairs(spark, data):
+    results = spark.read.parquet(f"{data}/scrape_results.parquet")
+    links = {}
+    for a, b in map(tuple, la.same_looking_pairs(results).collect()):
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+    rows = {r["result_id"]: (r["class_id"], r["n_links"]) for r in la.look_classes(results).collect()}
+    assert {i: n for i, (_, n) in rows.items() if n} == {i: len(x) for i, x in links.items()}
+    assert all(rows[a][0] == rows[b][0] for a, x in links.items() for b in x)
+
+
+def test_letters_of_other_fonts_and_scripts():
+    u = la.Unifier({})
+    assert u.text("𝐑𝐓𝐗 𝖱𝖳𝖷 ꓣꓔX") == "RTX RTX RTX"
+    assert u.text("a" * 30_000 + "Ꮇ") == "a" * 30_000 + "M"

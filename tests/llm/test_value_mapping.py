@@ -72,6 +72,23 @@ def test_shards_give_the_same(spark):
     assert whole == {("velmora", 1), ("Kortexai", 2), ("zzz", 0), ("Ivorx", 4), ("NDNX", 3)}
 
 
+def test_any_sharding_gives_the_same():
+    """The winners of shards, merged by rank, are those of one tree."""
+    r = random.Random(8)
+    words = ["western", "westyrn", "digital", "digit", "velmora", "shop", "nord", "haven", "ivorex", "iv"]
+    entries = [(i, " ".join(r.sample(words, r.randrange(1, 4))), None, None) for i in range(1, 40)] + [(90, "westyrnx", None, None), (91, "western digital", None, None), (92, "a b c d e f g longer name", None, None)]
+    whole = vm.Matcher(entries)
+    typed = [" ".join(r.sample(words, r.randrange(1, 4))) + r.choice(["", ".", " x", "z"]) for _ in range(150)] + ["western d.", "western digi.", "a b c d e f g longer nome", "westyrn digital."]
+    for shards in (2, 5):
+        parts = [vm.Matcher([e for e in entries if e[0] % shards == k]) for k in range(shards)]
+        for t in typed:
+            got = [m.match(t) for m in parts]
+            best = min(rank for rank, _ in got)
+            assert whole.match(t) == (best, sorted(i for rank, ids in got for i in ids if rank == best)), t
+    few = vm.Matcher(entries[-3:])
+    assert few.match("a b c d e f g longer nome")[1] == [92] and few.match("western d.")[1] == [91] and few.match("westyrnx")[1] == [90]
+
+
 def test_empty(spark):
     table, ref = frames(spark)
     assert vm.mapped_field(table.limit(0), "product_id", "brand", "brand", ref).count() == 0
