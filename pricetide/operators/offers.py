@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,15 +14,17 @@ from pricetide.functions import price
 SNAPSHOT_ORDER = ("price_updated_at", "received_at", "current_price", "original_price", "stock_status", "shipping")
 
 
-def latest_offers(price_views: DataFrame) -> DataFrame:
-    """One row per listing: its current snapshot.
+def latest_offers(price_views: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """One row per listing: its current snapshot, with all columns or those named.
 
     The maximum of a struct is found with partial aggregation before the shuffle,
-    so repeated snapshots of a hot listing never meet in one task.
+    so repeated snapshots of a hot listing never meet in one task.  Only the
+    order and the named columns are read and shuffled.
     """
-    rest = [c for c in price_views.columns if c not in SNAPSHOT_ORDER and c != "listing_id"]
+    wanted = [c for c in price_views.columns if columns is None or c in set(columns)]
+    rest = [c for c in wanted if c not in SNAPSHOT_ORDER and c != "listing_id"]
     best = price_views.where("listing_id is not null").groupBy("listing_id").agg(F.max(F.struct(*SNAPSHOT_ORDER, *rest)).alias("o"))
-    return best.select("listing_id", "o.*")
+    return best.select("listing_id", *(f"o.{c}" for c in price_views.columns if c != "listing_id" and (c in rest or (c in SNAPSHOT_ORDER and c in wanted))))
 
 
 def product_prices(listings: DataFrame, products: DataFrame, sources: DataFrame, categories: DataFrame) -> DataFrame:

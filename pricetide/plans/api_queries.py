@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from pricetide.functions import catalog, kinds, price, text
 from pricetide.operators import clusters, lifecycle, offers, search, taxonomy
+from pricetide.plans import rule_sql
 from pricetide.plans.catalog_queries import current
 from pricetide.plans.registry import OFFERS_SQL, Registry
 from pricetide.session import read
@@ -23,11 +24,19 @@ def f10_price_range(spark, d):
     return current(spark, d).where(F.col("current_price").between(low, high)).select("listing_id", "current_price")
 
 
+@query(f"WITH {OFFERS_SQL} SELECT listing_id, category_slug FROM offers WHERE {rule_sql.fits('product_name', 'category_slug')}")
 def f11_fitting_offers(spark, d):
     """Current offers whose title can stand under their category."""
-    return current(spark, d).where(kinds.fits_slug(F.col("product_name"), F.col("category_slug"))).select("listing_id", "category_slug")
+    return current(spark, d, "listing_id", "product_name", "category_slug").where(kinds.fits_slug(F.col("product_name"), F.col("category_slug"))).select("listing_id", "category_slug")
 
 
+@query(f"SELECT result_id, title FROM scrape_results WHERE {rule_sql.portable_on_page('title')}")
+def f12_portables_on_page(spark, d):
+    """Scraped titles that the browse page takes for a portable computer."""
+    return read(spark, d, "scrape_results").where(kinds.is_portable_on_page(F.col("title"))).select("result_id", "title")
+
+
+@query(f"SELECT result_id, title FROM scrape_results WHERE {rule_sql.portable('title')}")
 def f13_portables(spark, d):
     """Scraped titles that describe a portable computer."""
     return read(spark, d, "scrape_results").where(kinds.is_portable(F.col("title"))).select("result_id", "title")
@@ -104,7 +113,7 @@ def j15_taxonomy_matches(spark, d):
 
 @query(f"WITH {OFFERS_SQL} SELECT count(DISTINCT store_id) AS n_stores, count(DISTINCT product_id) AS n_products FROM offers")
 def a7_distinct_stores(spark, d):
-    return current(spark, d).agg(F.countDistinct("store_id").alias("n_stores"), F.countDistinct("product_id").alias("n_products"))
+    return current(spark, d, "product_id", "store_id").agg(F.countDistinct("store_id").alias("n_stores"), F.countDistinct("product_id").alias("n_products"))
 
 
 @query("SELECT category, lower(replace(canonical_name, ' ', '-')) AS model_key, count(*) AS n, min(product_id) AS first_id FROM clean_products WHERE category IS NOT NULL GROUP BY 1, 2")
@@ -122,12 +131,12 @@ def a18_run_summary(spark, d):
 @query(f"WITH {OFFERS_SQL} SELECT category_slug, round(avg(CASE WHEN original_price > current_price THEN (original_price - current_price) * 1.0 / original_price ELSE 0.0 END), 6) AS savings_rate FROM offers GROUP BY 1")
 def a24_savings_rate(spark, d):
     c, o = F.col("current_price"), F.col("original_price")
-    return current(spark, d).groupBy("category_slug").agg(F.round(F.avg(F.when(o > c, (o - c) * 1.0 / o).otherwise(0.0)), 6).alias("savings_rate"))
+    return current(spark, d, "category_slug", "current_price", "original_price").groupBy("category_slug").agg(F.round(F.avg(F.when(o > c, (o - c) * 1.0 / o).otherwise(0.0)), 6).alias("savings_rate"))
 
 
 @query(f"""WITH {OFFERS_SQL} SELECT 'granix' AS q, count(*) AS n, min(current_price) AS cheapest, arg_min(listing_id, current_price * 10000000000 + listing_id) AS listing_id FROM offers WHERE contains(lower(product_name), 'granix') AND current_price IS NOT NULL""")
 def a23_watch_cheapest(spark, d):
-    o = current(spark, d).where(F.lower("product_name").contains("granix")).where("current_price is not null")
+    o = current(spark, d, "listing_id", "product_name", "current_price").where(F.lower("product_name").contains("granix")).where("current_price is not null")
     return o.agg(F.count("*").alias("n"), F.min(F.struct("current_price", "listing_id")).alias("c")).select(F.lit("granix").alias("q"), "n", F.col("c.current_price").alias("cheapest"), F.col("c.listing_id").alias("listing_id"))
 
 
@@ -141,14 +150,14 @@ def o2_by_name(spark, d):
 @query(f"WITH {OFFERS_SQL} SELECT listing_id, coalesce(current_price, 0) AS p FROM offers ORDER BY coalesce(current_price, 0), listing_id LIMIT 20")
 def o7_price_ascending(spark, d):
     p = F.coalesce("current_price", F.lit(0))
-    return current(spark, d).orderBy(p, "listing_id").limit(20).select("listing_id", p.alias("p"))
+    return current(spark, d, "listing_id", "current_price").orderBy(p, "listing_id").limit(20).select("listing_id", p.alias("p"))
 
 
 @query(f"WITH {OFFERS_SQL} SELECT listing_id, CAST(CASE WHEN original_price > current_price THEN floor((original_price - current_price) * 100.0 / original_price + 0.5) ELSE 0 END AS BIGINT) AS discount FROM offers ORDER BY discount DESC, listing_id LIMIT 20")
 def o8_by_discount(spark, d):
     c, o = F.col("current_price"), F.col("original_price")
     discount = F.when(o > c, price.half_up((o - c) * 100.0 / o)).otherwise(F.lit(0).cast("long"))
-    return current(spark, d).select("listing_id", discount.alias("discount")).orderBy(F.desc("discount"), "listing_id").limit(20)
+    return current(spark, d, "listing_id", "current_price", "original_price").select("listing_id", discount.alias("discount")).orderBy(F.desc("discount"), "listing_id").limit(20)
 
 
 @query("SELECT listing_id, price FROM product_listings WHERE price IS NOT NULL ORDER BY price DESC, listing_id LIMIT 20 OFFSET 20")
@@ -221,11 +230,18 @@ def x_offer_id(spark, d):
     return read(spark, d, "clean_products").select("product_id", text.offer_id(F.col("canonical_name"), F.col("source_name")).alias("offer_id"))
 
 
+@query(f"SELECT result_id, {rule_sql.cascade('title')} AS cascade, {rule_sql.slug_of('title')} AS slug, {rule_sql.engine_category('title', 'url')} AS engine FROM scrape_results")
+def x_title_categories(spark, d):
+    """The category of every scraped title under the cascade, the converter and the engine."""
+    t = F.col("title")
+    return read(spark, d, "scrape_results").select("result_id", kinds.cascade(t).alias("cascade"), kinds.slug_of(t).alias("slug"), kinds.engine_category(t, F.col("url")).alias("engine"))
+
+
 def x_title_kinds(spark, d):
-    """Cascade category, converter slug, search tokens, phonetic keys and identifiers of every scraped title."""
+    """Search tokens, phonetic keys and identifiers of every scraped title."""
     t = F.col("title")
     r = read(spark, d, "scrape_results").select("result_id", "title")
-    return r.select("result_id", kinds.cascade(t).alias("cascade"), kinds.slug_of(t).alias("slug"), text.tokenize(t).alias("tokens"), text.phonetic_key(t).alias("sound"), catalog.model_identifiers(t).alias("ids"), text.hash31(t).alias("hash"))
+    return r.select("result_id", text.tokenize(t).alias("tokens"), text.phonetic_key(t).alias("sound"), catalog.model_identifiers(t).alias("ids"), text.hash31(t).alias("hash"))
 
 
 # ---- end-user pages -----------------------------------------------------------------------------------------------------
@@ -265,7 +281,7 @@ def e7_source_status(spark, d):
 @query(f"""WITH {OFFERS_SQL}, deals AS (SELECT product_id, listing_id, original_price - current_price AS saved FROM offers WHERE original_price > current_price), one AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY saved DESC, listing_id) AS r FROM deals)
 SELECT product_id, listing_id, saved FROM one WHERE r = 1 ORDER BY saved DESC, listing_id LIMIT 10""")
 def e14_live_deals(spark, d):
-    o = current(spark, d).where("original_price > current_price").withColumn("saved", F.col("original_price") - F.col("current_price"))
+    o = current(spark, d, "listing_id", "product_id", "current_price", "original_price").where("original_price > current_price").withColumn("saved", F.col("original_price") - F.col("current_price"))
     one = o.groupBy("product_id").agg(F.max(F.struct("saved", (-F.col("listing_id")).alias("n"))).alias("b")).select("product_id", (-F.col("b.n")).alias("listing_id"), F.col("b.saved").alias("saved"))
     return one.orderBy(F.desc("saved"), "listing_id").limit(10)
 
@@ -314,18 +330,19 @@ def e2_product_by_name(spark, d):
 
 @query(f"WITH {OFFERS_SQL} SELECT listing_id, product_name, product_brand FROM offers WHERE category_slug = 'storage' AND (product_name ILIKE '%nvme%' OR product_brand ILIKE '%nvme%') ORDER BY listing_id LIMIT 20")
 def e10_products(spark, d):
-    o = current(spark, d).where("category_slug = 'storage'").where(F.col("product_name").ilike("%nvme%") | F.col("product_brand").ilike("%nvme%"))
+    o = current(spark, d, "listing_id", "product_name", "product_brand", "category_slug").where("category_slug = 'storage'").where(F.col("product_name").ilike("%nvme%") | F.col("product_brand").ilike("%nvme%"))
     return o.orderBy("listing_id").limit(20).select("listing_id", "product_name", "product_brand")
 
 
 @query(f"""WITH {OFFERS_SQL}, pool AS (SELECT * FROM offers WHERE category_slug = 'keyboard' AND contains(lower(product_name), 'qwerty')), one AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY listing_id) AS r FROM pool)
 SELECT product_id, listing_id, current_price FROM one WHERE r = 1 ORDER BY coalesce(current_price, 0), listing_id LIMIT 40""")
 def e12_browse_page(spark, d):
-    pool = current(spark, d).where("category_slug = 'keyboard'").where(F.lower("product_name").contains("qwerty")).select("product_id", "listing_id", "current_price")
+    pool = current(spark, d, "listing_id", "product_id", "product_name", "category_slug", "current_price").where("category_slug = 'keyboard'").where(F.lower("product_name").contains("qwerty")).select("product_id", "listing_id", "current_price")
     one = pool.groupBy("product_id").agg(F.min(F.struct("listing_id", "current_price")).alias("f")).select("product_id", "f.listing_id", "f.current_price")
     return one.orderBy(F.coalesce("current_price", F.lit(0)), "listing_id").limit(40)
 
 
+@query(f"SELECT coalesce(category, '?') AS old, {rule_sql.engine_category('title', 'url')} AS new, count(*) AS n FROM scrape_results GROUP BY 1, 2")
 def m9_recategorized(spark, d):
     """How many titles change their category under the engine's rules."""
     t = read(spark, d, "scrape_results").select(F.coalesce("category", F.lit("?")).alias("old"), kinds.engine_category(F.col("title"), F.col("url")).alias("new"))
@@ -338,7 +355,7 @@ def x_title_specs(spark, d):
     return r.select("result_id", "title", kinds.title_specs(F.col("title")).alias("specs"))
 
 
-for f in (m9_recategorized, x_title_specs, f11_fitting_offers, f13_portables, j14_best_match, j15_taxonomy_matches, x_title_kinds):
+for f in (x_title_specs, j14_best_match, j15_taxonomy_matches, x_title_kinds):
     query()(f)
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

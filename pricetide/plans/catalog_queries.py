@@ -15,8 +15,9 @@ query = Registry()
 AS_OF = "2026-02-01 00:00:00"
 
 
-def current(spark: SparkSession, d: str) -> DataFrame:
-    return offers.latest_offers(read(spark, d, "price_views"))
+def current(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The current snapshots; only the named columns where some are."""
+    return offers.latest_offers(read(spark, d, "price_views"), columns or None)
 
 
 def as_of():
@@ -34,7 +35,7 @@ def v1_product_prices(spark, d):
 
 @query(f"WITH {OFFERS_SQL} SELECT category_slug, category_name_fr, count(*) AS n_offers FROM offers GROUP BY 1, 2")
 def v2_category_stats(spark, d):
-    return current(spark, d).groupBy("category_slug", "category_name_fr").agg(F.count("*").alias("n_offers")).orderBy(F.desc("n_offers"), "category_slug")
+    return current(spark, d, "category_slug", "category_name_fr").groupBy("category_slug", "category_name_fr").agg(F.count("*").alias("n_offers")).orderBy(F.desc("n_offers"), "category_slug")
 
 
 @query("SELECT source_id, name, base_url, trust_level, size(category_focus) AS n_categories FROM (SELECT *, len(category_focus) AS size_ FROM sources) WHERE is_active".replace("size(category_focus)", "size_"))
@@ -78,7 +79,7 @@ def f6_specs_search(spark, d):
 
 @query(f"WITH {OFFERS_SQL}, me AS (SELECT category_slug, product_id FROM offers ORDER BY listing_id LIMIT 1) SELECT o.listing_id, o.product_id, o.current_price FROM offers o, me WHERE o.category_slug = me.category_slug AND o.product_id <> me.product_id AND o.current_price IS NOT NULL ORDER BY o.current_price, o.listing_id LIMIT 6")
 def f7_related_products(spark, d):
-    o = current(spark, d)
+    o = current(spark, d, "listing_id", "product_id", "category_slug", "current_price")
     me = o.orderBy("listing_id").limit(1).select(F.col("category_slug").alias("c"), F.col("product_id").alias("p"))
     related = o.join(F.broadcast(me), (F.col("category_slug") == F.col("c")) & (F.col("product_id") != F.col("p"))).where("current_price is not null")
     return related.orderBy("current_price", "listing_id").limit(6).select("listing_id", "product_id", "current_price")
@@ -86,7 +87,7 @@ def f7_related_products(spark, d):
 
 @query(f"WITH {OFFERS_SQL} SELECT listing_id, original_price - current_price AS savings FROM offers WHERE original_price > current_price")
 def f8_positive_savings(spark, d):
-    return current(spark, d).select("listing_id", price.savings(F.col("current_price"), F.col("original_price")).alias("savings")).where("savings > 0")
+    return current(spark, d, "listing_id", "current_price", "original_price").select("listing_id", price.savings(F.col("current_price"), F.col("original_price")).alias("savings")).where("savings > 0")
 
 
 @query(f"WITH {OFFERS_SQL} SELECT listing_id, product_name, current_price FROM offers WHERE category_slug = 'memory' AND stock_status = 'En stock' AND original_price > current_price AND coalesce(current_price, 0) >= 5000 AND current_price <= 20000")
@@ -122,7 +123,7 @@ def f22_model_after_brand(spark, d):
 def f23_discount_flags(spark, d):
     c, o = F.col("current_price"), F.col("original_price")
     percent = F.when((o > 0) & (o > c), price.half_up((o - c) * 100.0 / o)).otherwise(F.lit(0).cast("long"))
-    return current(spark, d).select("listing_id", F.coalesce(o > c, F.lit(False)).alias("has_discount"), percent.alias("savings_percent"))
+    return current(spark, d, "listing_id", "current_price", "original_price").select("listing_id", F.coalesce(o > c, F.lit(False)).alias("has_discount"), percent.alias("savings_percent"))
 
 
 # ---- joins -------------------------------------------------------------------------------------------------------
@@ -194,7 +195,7 @@ def j18_replace_source(spark, d):
 SELECT w.item_id, count(*) AS n_matches, min(o.current_price) AS cheapest FROM watch w JOIN offers o ON contains(lower(o.product_name), w.q) AND (w.cat IS NULL OR o.category_slug = w.cat) GROUP BY 1""")
 def j20_watchlist(spark, d):
     items = spark.createDataFrame([(1, "granix", None), (2, "nvme", "storage"), (3, "qwerty", "keyboard")], "item_id int, q string, cat string")
-    o = current(spark, d).select(F.lower("product_name").alias("n"), "category_slug", "current_price")
+    o = current(spark, d, "product_name", "category_slug", "current_price").select(F.lower("product_name").alias("n"), "category_slug", "current_price")
     hit = F.col("n").contains(F.col("q")) & (F.col("cat").isNull() | (F.col("category_slug") == F.col("cat")))
     # the watchlist is a parameter of a few rows
     return o.join(F.broadcast(items), hit).groupBy("item_id").agg(F.count("*").alias("n_matches"), F.min("current_price").alias("cheapest"))
@@ -204,14 +205,14 @@ def j20_watchlist(spark, d):
 
 @query(f"WITH {OFFERS_SQL} SELECT listing_id, product_id, store_name, original_price - current_price AS savings FROM offers WHERE original_price > current_price ORDER BY savings DESC, listing_id LIMIT 10")
 def o3_top_deals(spark, d):
-    o = current(spark, d).withColumn("savings", price.savings(F.col("current_price"), F.col("original_price"))).where("savings > 0")
+    o = current(spark, d, "listing_id", "product_id", "store_name", "current_price", "original_price").withColumn("savings", price.savings(F.col("current_price"), F.col("original_price"))).where("savings > 0")
     return o.orderBy(F.desc("savings"), "listing_id").limit(10).select("listing_id", "product_id", "store_name", "savings")
 
 
 @query(f"""WITH {OFFERS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY product_name ORDER BY current_price, listing_id) AS r, count(*) OVER (PARTITION BY product_name) AS n FROM offers WHERE current_price IS NOT NULL)
 SELECT product_name, listing_id, round((original_price - current_price) / original_price, 4) AS ratio FROM ranked WHERE r = 1 AND n >= 2 AND original_price > current_price ORDER BY ratio DESC, product_name LIMIT 10""")
 def o4_deal_ratio(spark, d):
-    first = current(spark, d).where("current_price is not null").groupBy("product_name").agg(F.count("*").alias("n"), F.min(F.struct("current_price", "listing_id", "original_price")).alias("f"))
+    first = current(spark, d, "listing_id", "product_name", "current_price", "original_price").where("current_price is not null").groupBy("product_name").agg(F.count("*").alias("n"), F.min(F.struct("current_price", "listing_id", "original_price")).alias("f"))
     c, o = F.col("f.current_price"), F.col("f.original_price")
     deals = first.where((F.col("n") >= 2) & (o > c)).select("product_name", F.col("f.listing_id").alias("listing_id"), F.round((o - c) / o, 4).alias("ratio"))
     return deals.orderBy(F.desc("ratio"), "product_name").limit(10)
@@ -219,12 +220,12 @@ def o4_deal_ratio(spark, d):
 
 @query(f"WITH {OFFERS_SQL} SELECT product_id, max(product_review_count) AS reviews FROM offers WHERE product_id IS NOT NULL GROUP BY 1 ORDER BY reviews DESC NULLS LAST, product_id LIMIT 10")
 def o5_trending_products(spark, d):
-    return current(spark, d).where("product_id is not null").groupBy("product_id").agg(F.max("product_review_count").alias("reviews")).orderBy(F.desc_nulls_last("reviews"), "product_id").limit(10)
+    return current(spark, d, "product_id", "product_review_count").where("product_id is not null").groupBy("product_id").agg(F.max("product_review_count").alias("reviews")).orderBy(F.desc_nulls_last("reviews"), "product_id").limit(10)
 
 
 @query(f"WITH {OFFERS_SQL} SELECT listing_id, category_slug, current_price FROM offers ORDER BY category_slug NULLS LAST, current_price NULLS LAST, listing_id LIMIT 100")
 def o11_by_category_then_price(spark, d):
-    return current(spark, d).orderBy(F.asc_nulls_last("category_slug"), F.asc_nulls_last("current_price"), "listing_id").limit(100).select("listing_id", "category_slug", "current_price")
+    return current(spark, d, "listing_id", "category_slug", "current_price").orderBy(F.asc_nulls_last("category_slug"), F.asc_nulls_last("current_price"), "listing_id").limit(100).select("listing_id", "category_slug", "current_price")
 
 
 @query("SELECT product_id, canonical_name, listing_count FROM clean_products ORDER BY listing_count DESC NULLS LAST, product_id LIMIT 60")
@@ -238,7 +239,7 @@ def o13_cumulative_page(spark, d):
 @query(f"""WITH {OFFERS_SQL}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category_slug, product_id ORDER BY listing_id) AS f FROM offers WHERE product_id IS NOT NULL) WHERE f = 1)
 SELECT category_slug, product_id, CAST(rn AS BIGINT) AS rn FROM (SELECT category_slug, product_id, row_number() OVER (PARTITION BY category_slug ORDER BY coalesce(product_rating, 0) * 10 + coalesce(product_review_count, 0) DESC, product_id) AS rn FROM one) WHERE rn <= 3""")
 def w1_top3_per_category(spark, d):
-    one = offers.keep_first(current(spark, d).where("product_id is not null").select("category_slug", "product_id", "listing_id", "product_rating", "product_review_count"), ["category_slug", "product_id"], ["listing_id"])
+    one = offers.keep_first(current(spark, d, "category_slug", "product_id", "listing_id", "product_rating", "product_review_count").where("product_id is not null").select("category_slug", "product_id", "listing_id", "product_rating", "product_review_count"), ["category_slug", "product_id"], ["listing_id"])
     score = F.coalesce("product_rating", F.lit(0.0)) * 10 + F.coalesce("product_review_count", F.lit(0))
     return offers.top_n_per(one, ["category_slug"], [score.desc(), F.asc("product_id")], 3).select("category_slug", "product_id", F.col("rn").cast("long").alias("rn"))
 
@@ -251,7 +252,7 @@ def w3_keep_first(spark, d):
 
 @query(f"""WITH {OFFERS_SQL} SELECT product_id, min(listing_id) AS pos, arg_min(listing_id, (current_price, listing_id)) AS cheapest FROM offers WHERE product_id IS NOT NULL AND current_price IS NOT NULL GROUP BY 1""".replace("arg_min(listing_id, (current_price, listing_id))", "min(listing_id) FILTER (WHERE r = 1)").replace("FROM offers WHERE product_id IS NOT NULL AND current_price IS NOT NULL", "FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY current_price, listing_id) AS r FROM offers WHERE product_id IS NOT NULL AND current_price IS NOT NULL)"))
 def w4_first_seen_cheapest(spark, d):
-    o = current(spark, d).where("product_id is not null and current_price is not null")
+    o = current(spark, d, "listing_id", "product_id", "current_price").where("product_id is not null and current_price is not null")
     return o.groupBy("product_id").agg(F.min("listing_id").alias("pos"), F.min(F.struct("current_price", "listing_id")).alias("c")).select("product_id", "pos", F.col("c.listing_id").alias("cheapest"))
 
 
@@ -266,7 +267,7 @@ def w5_price_changes(spark, d):
 @query(f"WITH {OFFERS_SQL} SELECT listing_id FROM offers ORDER BY md5(concat('2026-06-01 00:05', '-', CAST(listing_id AS VARCHAR))) LIMIT 20")
 def w6_seeded_rotation(spark, d):
     seed = "2026-06-01 00:05"
-    return current(spark, d).select("listing_id").orderBy(F.md5(F.concat(F.lit(seed), F.lit("-"), F.col("listing_id").cast("string")))).limit(20)
+    return current(spark, d, "listing_id").select("listing_id").orderBy(F.md5(F.concat(F.lit(seed), F.lit("-"), F.col("listing_id").cast("string")))).limit(20)
 
 
 # ---- set operations ------------------------------------------------------------------------------------------------

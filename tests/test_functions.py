@@ -112,3 +112,16 @@ def test_sql_names(spark):
     assert len(sql.register(spark)) == len(sql.FUNCTIONS)
     r = spark.sql("select pt_normalize('Écran  LG') a, pt_clean_price('96 000,00 DA') b, pt_savings(80L, 100L) c, pt_slug_of('RTX 4060') d, pt_similarity('abc', 'abc') e").first()
     assert tuple(r) == ("ecran lg", 96000.0, 20, "graphics-cards", 1.0)
+
+
+@pytest.mark.parametrize("title", ["Firefly 14", "Erazer Defender", "GF66", "MSI Thin GF63 i7 16 Go 512 ssd", "MSI GF65 core i7 16 go fhd", "XMG 15"])
+def test_portables_of_every_name(spark, title):
+    assert one(spark, title, kinds.is_portable) is True
+
+
+@pytest.mark.parametrize("title, slug, fits", [
+    ("Boitier ATX noir", "pc-parts", False), ("Clavier mecanique", "pc-parts", False), ("MacBook Air", "pc-parts", False), ("Carte mère MSI B550", "pc-parts", True), ("PC ThinkPad RTX 3050", "graphics-cards", False),
+    ("RTX 4060 8Go", "graphics-cards", True), ("Écran 27 pouces IPS", "monitors", True), ("Core i7 RTX 4060 FHD", "processors", False), ("anything", "other", True), (None, "mouse", False),
+])
+def test_titles_under_slugs(spark, title, slug, fits):
+    assert spark.createDataFrame([(title, slug)], "t string, s string").select(kinds.fits_slug(F.col("t"), F.col("s"))).first()[0] is fits

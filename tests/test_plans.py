@@ -38,3 +38,9 @@ def test_rank_limit_before_the_shuffle(spark, data):
 def test_history_shuffles_each_observation_once(spark, data):
     text = plan(spark, data, "p5_found")
     assert text.count("REPARTITION_BY_COL") == 1 and "Window" not in text
+
+
+def test_current_offers_read_the_order_and_what_is_asked(spark, data):
+    from pricetide.operators.offers import SNAPSHOT_ORDER
+    schema = re.search(r"ReadSchema: struct<(.*?)>", plan(spark, data, "v2_category_stats"))[1]
+    assert {c.split(":")[0] for c in schema.split(",")} == {"listing_id", "category_slug", "category_name_fr", *SNAPSHOT_ORDER}
