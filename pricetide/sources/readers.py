@@ -39,9 +39,32 @@ def one_dialect(rows: DataFrame) -> DataFrame:
     ).where("name is not null")
 
 
-def catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Products of catalogue documents {"products": [{..., "prices": [...]}]}, read with a schema inferred over all files."""
-    return spark.read.json(path, multiLine=True).select(F.explode("products").alias("p")).select("p.*")
+def catalog(spark: SparkSession, path: str, product: str | None = None) -> DataFrame:
+    """Products of catalogue documents {"products": [{..., "prices": [...]}]}; without the type of ``product`` it is inferred over all files."""
+    reader = spark.read.schema(f"products array<{product}>") if product else spark.read
+    return reader.json(path, multiLine=True).select(F.explode("products").alias("p")).select("p.*")
+
+
+def usable(products: DataFrame, name: str = "name", price: str = "bestPrice", least: int = 1000) -> DataFrame:
+    """Catalogue products with a name of 4 to 199 characters and a price above the least."""
+    return products.where((F.length(name) > 3) & (F.length(name) < 200) & (F.col(price) > least))
+
+
+def seed(rows: DataFrame, order: str, limit: int = 150, title: str = "title") -> DataFrame:
+    """The first rows in order to fill an empty catalogue with: one per title without case, none with mark-up in it.  The limit is the feature."""
+    clean = rows.where(F.col(title).isNotNull() & ~F.col(title).contains("<img") & ~F.col(title).contains("<div"))
+    rest = [c for c in rows.columns if c != order]
+    first = clean.groupBy(F.lower(title).alias("_t")).agg(F.min(F.struct(order, *rest)).alias("r"))
+    return first.select("r.*").orderBy(order).limit(limit).select(*rows.columns)
+
+
+def proxied_image(url: Column, width: int = 300, proxy: str = "https://images.weserv.nl/") -> Column:
+    """The address of an image behind a resizing proxy; data and already proxied addresses stay, what is too short for one gives null."""
+    plain = F.url_encode(url)
+    for code, sign in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        plain = F.replace(plain, F.lit(code), F.lit(sign))
+    stays = url.contains("weserv.nl") | url.contains("wsrv.nl") | url.startswith("data:")
+    return F.when(F.length(url) < 10, F.lit(None)).when(stays, url).otherwise(F.concat(F.lit(f"{proxy}?url="), plain, F.lit(f"&w={width}&q=85&output=webp&n=-1&we")))
 
 
 def first_existing(spark: SparkSession, paths: list[str]) -> str | None:

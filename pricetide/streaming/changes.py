@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from pricetide.operators.offers import latest_offers
 
@@ -59,22 +60,23 @@ def keep_deals(stream: DataFrame, state_path: str, checkpoint: str, limit: int,
 
 
 def price_changes(stream: DataFrame, checkpoint: str, log_path: str) -> StreamingQuery:
-    """Append listing, old and new price of every change of price to a table.
+    """Append listing, old and new price of every change of price to a table, those inside one batch too.
 
-    The last price of a listing is looked up in the log itself, so the stream
-    needs no state beyond its own output.
+    The last price of each listing is kept beside the log as the state after
+    each batch; of several prices at one moment the highest counts.
     """
     def apply(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        last = None
-        if n > 0:
-            log = spark.read.parquet(*[f"{log_path}/{i}" for i in range(n)])
-            last = log.groupBy("listing_id").agg(F.max_by("new_price", "changed_at").alias("before"))
-        else:
-            last = spark.createDataFrame([], "listing_id long, before long")
-        new = batch.where("current_price is not null").groupBy("listing_id").agg(F.max_by("current_price", "price_updated_at").alias("new_price"), F.max("price_updated_at").alias("changed_at"))
-        joined = new.join(last, "listing_id", "left").where("not (new_price <=> before)")
-        joined.select("listing_id", F.col("before").alias("old_price"), "new_price", "changed_at").write.mode("overwrite").parquet(f"{log_path}/{n}")
+        state = "listing_id long, before long, seen timestamp"
+        last = spark.read.parquet(f"{log_path}_last/{n - 1}") if n > 0 else spark.createDataFrame([], state)
+        told = batch.where("listing_id is not null and current_price is not null and price_updated_at is not null")
+        moments = told.groupBy("listing_id", F.col("price_updated_at").alias("changed_at")).agg(F.max("current_price").alias("new_price"))
+        earlier = F.lag("new_price").over(Window.partitionBy("listing_id").orderBy("changed_at"))
+        joined = moments.withColumn("earlier", earlier).join(last.select("listing_id", "before"), "listing_id", "left").withColumn("old_price", F.coalesce("earlier", "before"))
+        joined.where("not (new_price <=> old_price)").select("listing_id", "old_price", "new_price", "changed_at").write.mode("overwrite").parquet(f"{log_path}/{n}")
+        now = moments.select("listing_id", F.col("new_price").alias("before"), F.col("changed_at").alias("seen"))
+        both = last.unionByName(now).groupBy("listing_id").agg(F.max_by("before", "seen").alias("before"), F.max("seen").alias("seen"))
+        both.write.mode("overwrite").parquet(f"{log_path}_last/{n}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
