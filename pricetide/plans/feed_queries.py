@@ -279,9 +279,9 @@ def e13_no_result_suggestions(spark, d):
     return popular.select(F.lit("product").alias("part"), F.col("product_id").cast("string").alias("name"), "n").unionByName(largest.select(F.lit("category").alias("part"), F.col("category_slug").alias("name"), "n"))
 
 
-@query("SELECT product_id, count(*) AS n_prices FROM product_listings WHERE product_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("SELECT product_id, count(*) AS n_prices FROM price_views WHERE product_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 10")
 def o5_most_offered(spark, d):
-    return read(spark, d, "product_listings").where("product_id is not null").groupBy("product_id").agg(F.count("*").alias("n_prices")).where("n_prices >= 2").orderBy(F.desc("n_prices"), "product_id").limit(10)
+    return read(spark, d, "price_views").where("product_id is not null").groupBy("product_id").agg(F.count("*").alias("n_prices")).where("n_prices >= 2").orderBy(F.desc("n_prices"), "product_id").limit(10)
 
 
 @query(f"WITH {OFFERS_SQL} SELECT listing_id, store_name, original_price - current_price AS savings FROM offers WHERE original_price > current_price ORDER BY store_name DESC NULLS LAST, 3 DESC, 1 LIMIT 30")
