@@ -204,8 +204,9 @@ def mapped_values(values: DataFrame, ref: DataFrame, most_broadcast: int = MOST_
             for frame in frames:
                 yield rows_of(matcher, frame["value"])
 
-        # spread by number: the search costs far more than the bytes of the values tell
-        found = values.select("value").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "value").mapInPandas(one, schema)
+        # spread by number and by another key than that of the distinct values: the search costs far more than their bytes tell
+        spread = values.select("value").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("value"))
+        found = spread.mapInPandas(one, schema)
     else:
         shards = -(-ref.count() // most_broadcast)
         parts = ref.select("ref_id", "value", "alt_value", "short_code", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).alias("shard"))
