@@ -8,19 +8,17 @@ from pyspark.sql import functions as F
 from pricetide.functions.text import scraped_name, squeeze
 from pricetide.session import checkpointed
 
-#: No tree is deeper; a longer chain is a cycle and its nodes are left out.
-DEEPEST = 32
-
 
 def with_paths(nodes: DataFrame, id_: str = "id", parent: str = "parent_id", name: str = "name") -> DataFrame:
     """Every node that hangs below a root (parent 0 or null) with its path of names.
 
     Level by level: each round joins only the newest level with its children.
-    Orphans and cycles are never reached.
+    Orphans and cycles are never reached; no path is longer than there are nodes.
     """
+    deepest = nodes.count()
     level = nodes.where(F.coalesce(parent, F.lit(0)) == 0).withColumn("path", F.array(name))
     out = level
-    for _ in range(DEEPEST):
+    for _ in range(deepest):
         above = level.select(F.col(id_).alias("_up"), F.col("path").alias("_path"))
         level = checkpointed(nodes.where(F.coalesce(parent, F.lit(0)) != 0).join(above, F.col(parent) == F.col("_up")).withColumn("path", F.concat("_path", F.array(name))).drop("_up", "_path"))
         if level.isEmpty():

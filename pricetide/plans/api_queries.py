@@ -73,10 +73,10 @@ def j9_token_candidates(spark, d):
 
 
 def j14_best_match(spark, d):
-    """For each scraped title the product of its category with the highest match score from 35 on.
+    """For each scraped title the product with the highest match score from 10 on; the tables give neither categories nor identifiers in common.
 
-    Products are compared where they share a word of more than four letters or
-    digits with the title, not all with all.
+    Products are compared where they share a word of four letters or more with
+    the number behind it, not all with all.
     """
     p = read(spark, d, "clean_products").where("canonical_name is not null").select(F.col("product_id").alias("right_id"), F.col("canonical_name").alias("b_name"), F.lower("brand").alias("b_brand"))
     r = read(spark, d, "scrape_results").where("title is not null").select(F.col("result_id").alias("left_id"), F.col("title").alias("a_name"))
