@@ -76,7 +76,7 @@ def s5_product_cards(spark, d):
 
 
 @query("SELECT canonical_name AS name, CAST(price AS DOUBLE) AS price, url, count(*) AS n FROM product_listings GROUP BY 1, 2, 3")
-def s7_linked_data(spark, d):
+def s10_linked_data(spark, d):
     record = F.struct(F.lit("Product").alias("@type"), F.col("canonical_name").alias("name"), F.col("url"), F.struct(F.col("price").cast("string").alias("price")).alias("offers"))
     block = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(record), F.lit("</script>"))
     path = landed(read(spark, d, "product_listings"), "listing_id", F.array_join(F.collect_list(block), ""), "linked")
@@ -84,7 +84,7 @@ def s7_linked_data(spark, d):
 
 
 @query("SELECT canonical_name AS name, CAST(price AS DOUBLE) AS price, count(*) AS n FROM product_listings WHERE canonical_name <> '' AND price IS NOT NULL GROUP BY 1, 2")
-def s8_embedded_products(spark, d):
+def s10_embedded_products(spark, d):
     record = F.struct(F.struct(F.col("canonical_name").alias("name"), F.col("price")).alias("item"))
     block = F.concat(F.lit('<script type="application/json">{"state": '), F.to_json(F.collect_list(record)), F.lit("}</script>"))
     path = landed(read(spark, d, "product_listings"), "listing_id", block, "embedded")
@@ -92,14 +92,14 @@ def s8_embedded_products(spark, d):
 
 
 @query("SELECT DISTINCT url FROM product_listings WHERE contains(url, '/product/')")
-def s9_sitemap_urls(spark, d):
+def s7_sitemap_urls(spark, d):
     locs = F.array_join(F.collect_list(F.concat(F.lit("<url><loc> "), F.col("url"), F.lit("\n</loc></url>"))), "")
     path = landed(read(spark, d, "product_listings"), "listing_id", F.concat(F.lit("<urlset>"), locs, F.lit("</urlset>")), "sitemap")
     return readers.sitemap(spark, path)
 
 
 @query("SELECT substr(trim(regexp_replace(canonical_name, '\\s+', ' ', 'g')), 1, 120) AS name, price, url, count(*) AS n FROM product_listings WHERE price > 1000 GROUP BY 1, 2, 3")
-def s10_store_api(spark, d):
+def s9_store_api(spark, d):
     record = as_json(name=F.concat(F.lit("<b>"), escaped("canonical_name"), F.lit("</b>")), prices=F.struct(F.col("price").cast("string").alias("price")), permalink="url")
     path = landed(read(spark, d, "product_listings").where("canonical_name is not null"), "listing_id", F.to_json(F.collect_list(record)), "api")
     return readers.store_api(spark, path).groupBy("name", "price", "url").agg(F.count("*").alias("n"))
@@ -108,7 +108,7 @@ def s10_store_api(spark, d):
 @query("""SELECT trim(title) AS name, price, 'https://feed.example/' || slug || '-d' || CAST(result_id AS VARCHAR) AS url, 'In Stock' AS availability FROM
   (SELECT *, 'item-' || CAST(result_id AS VARCHAR) AS slug FROM (SELECT result_id, title, '1500 DA' AS price FROM scrape_results)) AS r
 WHERE length(trim(title)) >= 3 AND NOT regexp_matches(lower(title), 'recherche|cherche|achat|échange|location|service')""")
-def s11_announcements(spark, d):
+def s8_announcements(spark, d):
     item = as_json(id=F.col("result_id").cast("string"), title="title", slug=F.concat(F.lit("item-"), F.col("result_id")), price=F.lit(1500), status=F.lit("published"))
     nested = F.struct(F.struct(F.struct(F.struct(F.collect_list(item).alias("data")).alias("announcements")).alias("search")).alias("data"))
     path = landed(read(spark, d, "scrape_results"), "result_id", F.to_json(nested), "announcements")
