@@ -115,6 +115,24 @@ def s8_announcements(spark, d):
     return readers.announcements(spark, path, "https://feed.example").select("name", "price", "url", "availability")
 
 
+@query("""SELECT CAST(floor(listing_id / 500) AS BIGINT) AS doc, k AS category, arg_min(url, listing_id) AS url FROM product_listings, (VALUES ('nvme'), ('qwerty')) AS w(k)
+WHERE url IS NOT NULL AND contains(lower(url || ' ' || coalesce(canonical_name, '')), k) GROUP BY 1, 2""")
+def s12_category_links(spark, d):
+    link = F.concat(F.lit('<a href="'), F.col("url"), F.lit('">'), escaped("canonical_name"), F.lit("</a>"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("listing_id", link.alias("html")))), lambda x: x["html"])
+    path = landed(read(spark, d, "product_listings").where("url is not null"), "listing_id", F.array_join(in_order, ""), "links")
+    found = readers.categories_of(readers.pages(spark, path), {"nvme": ["nvme"], "qwerty": ["qwerty"]})
+    return found.select(F.regexp_extract("file", r"doc=(\d+)", 1).cast("long").alias("doc"), "category", "url")
+
+
+@query("SELECT url, min(trim(regexp_replace(canonical_name, '\\s+', ' ', 'g'))) AS name FROM product_listings WHERE url IS NOT NULL AND canonical_name IS NOT NULL GROUP BY 1")
+def s13_shop_cards(spark, d):
+    card = F.concat(F.lit('<li class="product"><a href="'), F.col("url"), F.lit('"><h2>'), escaped("canonical_name"), F.lit("</h2></a></li>"))
+    path = landed(read(spark, d, "product_listings").where("url is not null and canonical_name is not null"), "listing_id", F.array_join(F.collect_list(card), ""), "shop")
+    cards = readers.cards(readers.pages(spark, path), '<li class="product">(.*?)</li>', {"name": ["<h2>(.*?)</h2>"], "url": ['<a href="([^"]+)"']})
+    return cards.groupBy("url").agg(F.min("name").alias("name"))
+
+
 @query("SELECT 'clean' AS site, canonical_name AS name FROM clean_products UNION ALL SELECT 'scraped', title FROM scrape_results")
 def s14_fan_in(spark, d):
     def gone():
