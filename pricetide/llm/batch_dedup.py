@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from pricetide.llm.product_phrases import PhraseReader, correct_lines, count_lines
 from pricetide.llm.words import fold
-from pricetide.session import remove, scratch_path
+from pricetide.session import release, remove, scratch_path
 
 MOST_BITS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -249,6 +249,7 @@ class OfferStore:
         rows.groupBy(*_OFFER_KEY, "fingerprint").agg(F.min("listing_id").alias("first_id"), F.max("sku").alias("sku"), F.lit(False).alias("linked")).write.parquet(offers_at)
         mine = spark.read.parquet(offers_at)
         self._roots(mine).write.parquet(roots_at)
+        release(spark)
         settled = mine.join(spark.read.parquet(roots_at), _OFFER_KEY, "left")
         root = F.least("first_id", F.coalesce("root", "first_id"))
         linked = rows.join(settled.select(*_OFFER_KEY, root.alias("root")), _OFFER_KEY).where("listing_id > root")
@@ -257,6 +258,7 @@ class OfferStore:
         texts = new.select(*_OFFER_KEY, "sku", root.alias("first_id"), F.col("root").isNotNull().alias("linked"))
         self._append(texts, rotated(new))
         self.batches += 1
+        release(spark)
         return spark.read.parquet(found_at)
 
     def _roots(self, mine: DataFrame) -> DataFrame:
@@ -264,15 +266,16 @@ class OfferStore:
         asked = rotated(mine).repartition(self.buckets, "block_key")
         ask = asked.select("block_key", "place", "nth", "fingerprint", "offer_id")
         places = [r[0] for r in mine.select(F.xxhash64("shop", "condition").alias("place")).distinct().limit(MOST_PLACES + 1).collect()]
-        pairs = [self._met(ask, asked, mine, mine, stored=False)]
+        pairs = [self._met(ask, asked, mine, stored=False)]
         for number, _ in self.parts:
             blocks = self._part("blocks", number)
             if len(places) <= MOST_PLACES:
                 blocks = blocks.where(F.col("place").isin(places))
-            pairs.append(self._met(ask, blocks, mine, self._part("texts", number), stored=True))
+            pairs.append(self._met(ask, blocks, self._part("texts", number), stored=True))
         met = pairs[0]
         for p in pairs[1:]:
             met = met.unionByName(p)
+        met = self._judged(met, mine)
         facts = F.filter(F.split("o_offer_key", " "), lambda x: x.contains("="))
         stated = F.array_distinct(F.flatten(F.collect_set(F.when(F.col("agrees"), facts))))
         agreed = met.groupBy(*_OFFER_KEY).agg(
@@ -283,8 +286,8 @@ class OfferStore:
         root = F.coalesce("known", "by_sku", F.when(F.size(kinds) == F.size("stated"), F.col("earliest")))
         return agreed.select(*_OFFER_KEY, root.alias("root"), F.col("known").isNotNull().alias("stored")).where("root is not null")
 
-    def _met(self, ask: DataFrame, blocks: DataFrame, mine: DataFrame, texts: DataFrame, stored: bool) -> DataFrame:
-        """The verified candidates among ``blocks``, whose texts are ``texts``: the offer's key, what the other states and how they agree."""
+    def _met(self, ask: DataFrame, blocks: DataFrame, texts: DataFrame, stored: bool) -> DataFrame:
+        """The candidates among ``blocks``, whose texts are ``texts``: the offer's id and what the other states."""
         theirs = blocks.select("block_key", F.col("place").alias("o_place"), F.col("nth").alias("o_nth"), F.col("fingerprint").alias("o_fingerprint"), F.col("offer_id").alias("o_id"))
         differ = F.col("fingerprint").bitwiseXOR(F.col("o_fingerprint"))
         near = ask.join(theirs, "block_key").where((F.col("place") == F.col("o_place")) & (F.col("nth") == F.col("o_nth")) & (F.bit_count(differ) <= MOST_BITS))
@@ -292,9 +295,13 @@ class OfferStore:
         near = near.where(F.col("nth") == first_table(differ)).select("offer_id", "o_id")
         if not stored:
             near = near.where("offer_id <> o_id")
-        own = mine.select(*_OFFER_KEY, "sku", "first_id")
         other = texts.select(*(F.col(c).alias("o_id" if c == "offer_id" else f"o_{c}") for c in _TEXT))
-        pairs = near.join(own, "offer_id").join(other, "o_id").where((F.col("shop") == F.col("o_shop")) & (F.col("condition") == F.col("o_condition")))
+        return near.join(other, "o_id")
+
+    def _judged(self, met: DataFrame, mine: DataFrame) -> DataFrame:
+        """The verified ones of the candidates of all parts: the offer's key, what the other states and how they agree."""
+        own = mine.select(*_OFFER_KEY, "sku", "first_id")
+        pairs = met.join(own, "offer_id").where((F.col("shop") == F.col("o_shop")) & (F.col("condition") == F.col("o_condition")))
         equal = F.col("offer_key") == F.col("o_offer_key")
         earlier = F.col("o_first_id") < F.col("first_id")
         same_sku = F.coalesce((F.col("sku") == F.col("o_sku")) & earlier, F.lit(False))

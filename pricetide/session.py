@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -42,6 +43,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "pricetide", f"{label}-{uuid.uuid4().hex}")
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver give up what finished queries hold there: places of shuffled data, broadcasts and plans.
+
+    They go with the driver's garbage, which a long run of small queries else leaves until its heap is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written table and all below it, on whatever file system it lies."""
     jvm = spark.sparkContext._jvm

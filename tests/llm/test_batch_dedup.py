@@ -145,3 +145,19 @@ def test_same_as_grouping(spark, data):
             want.add((first[key], r["listing_id"]))
         first.setdefault(key, r["listing_id"])
     assert {tuple(r) for r in bd.repeats(listings, ref).collect()} == want
+
+
+def test_the_driver_keeps_nothing_of_finished_batches(spark):
+    import time
+    kept = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    batch = lambda n: spark.createDataFrame([row(n * 10 + i, n, f"Velmora Granix {1000 + n * 10 + i} 16GB") for i in range(4)], SCHEMA)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(3)
+    before, store = kept(), bd.OfferStore(spark, ["velmora"])
+    for n in range(3):
+        store.accept(batch(n))
+    until = time.time() + 10  # the cleaner runs beside
+    while kept() > before and time.time() < until:
+        time.sleep(0.2)
+    store.close()
+    assert kept() <= before
