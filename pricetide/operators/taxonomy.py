@@ -37,21 +37,39 @@ def search_keys(products: DataFrame) -> DataFrame:
     return products.withColumn("keys", F.filter(F.array_distinct(F.array_compact(keys)), lambda k: F.length(k) > 2))
 
 
+def candidates(t: DataFrame, keyed: DataFrame) -> DataFrame:
+    """title_id, product where a phrase of the product (name, model, keys) begins at a word of the text ``t``."""
+    canonical = F.when(F.col("model") != "", F.col("model")).otherwise(F.col("name"))
+    phrases = keyed.select("product", F.explode(F.array_distinct(F.array_compact(F.concat("keys", F.array(canonical, "model"))))).alias("piece")).where("piece <> ''")
+    begin = lambda c: F.when(c.contains(" "), F.concat(F.substring_index(c, " ", 1), F.lit(" "))).otherwise(F.substring(c, 1, 1))
+    lengths = phrases.select(begin(F.col("piece")).alias("begin"), F.length("piece").alias("n")).groupBy("begin").agg(F.collect_set("n").alias("lengths"))
+    words = F.split("t", " ")
+    rests = F.transform(words, lambda w, i: F.array_join(F.slice(words, i + 1, F.size(words)), " "))
+    rest = t.select("title_id", F.explode(rests).alias("rest")).where("rest <> ''")
+    begins = F.array(F.substring("rest", 1, 1), F.concat(F.substring_index("rest", " ", 1), F.lit(" ")))
+    asked = rest.select("title_id", "rest", F.explode(begins).alias("begin")).join(lengths, "begin")
+    pieces = asked.select("title_id", F.explode(F.transform("lengths", lambda n: F.substring(F.col("rest"), F.lit(1), n))).alias("piece")).distinct()
+    return pieces.join(phrases, "piece").select("title_id", "product").distinct()
+
+
 def title_matches(titles: DataFrame, products: DataFrame, least: int = 40) -> DataFrame:
     """title_id, product, score of the best product for each title from ``least`` on.
 
-    A key, model or brand counts where it begins at a word of the title.
-    Candidates come from shared words instead of all pairs: whatever scores a
-    match shares the first word of one of its keys with the title.
+    A key, model or brand counts where it begins at a word of the title; one of
+    the keys must share its first word with the title.  Candidates are found by
+    whole phrases: from each word of a title on, the pieces of those lengths that
+    phrases of this first word have are looked up (for phrases of one word, which
+    may end inside a word, of this first letter).
     """
     t = titles.select("title_id", scraped_name(F.col("title")).alias("t"))
-    tokens = t.select("title_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).where("w <> ''")
-    keyed = search_keys(products)
-    firsts = keyed.select(F.col("id").alias("product"), F.lower("name").alias("name"), F.lower(F.coalesce("model", F.lit(""))).alias("model"), F.lower(F.coalesce("brand", F.lit(""))).alias("brand"), "keys",
-                          F.explode(F.array_distinct(F.transform("keys", lambda k: F.split(k, " ")[0]))).alias("w"))
-    pairs = tokens.join(firsts, "w").select("title_id", "t", "product", "name", "model", "brand", "keys").distinct()
-    inside = lambda c: (c != "") & F.concat(F.lit(" "), F.col("t")).contains(F.concat(F.lit(" "), c))
+    text = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    keyed = search_keys(products).select(F.col("id").alias("product"), F.lower("name").alias("name"), text("model").alias("model"), text("brand").alias("brand"), "keys")
+    # of products that are told alike only the smallest can be the best
+    keyed = keyed.groupBy("name", "model", "brand", "keys").agg(F.min("product").alias("product"))
     canonical = F.when(F.col("model") != "", F.col("model")).otherwise(F.col("name"))
+    pairs = candidates(t, keyed).join(t, "title_id").join(keyed, "product")
+    pairs = pairs.where(F.arrays_overlap(F.transform("keys", lambda k: F.split(k, " ")[0]), F.array_remove(F.split("t", " "), "")))
+    inside = lambda c: (c != "") & F.concat(F.lit(" "), F.col("t")).contains(F.concat(F.lit(" "), c))
     score = (
         F.when(inside(canonical), 100).otherwise(0) + F.when(inside(F.col("model")), 80).otherwise(0)
         + F.when(F.exists("keys", inside), 60).otherwise(0) + F.when(inside(F.col("brand")), 20).otherwise(0)

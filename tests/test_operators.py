@@ -111,6 +111,16 @@ def test_taxonomy(spark):
     assert [tuple(x) for x in taxonomy.title_matches(titles, products).collect()] == [(1, 3, 180)]
 
 
+def test_titles_meet_products_by_whole_phrases(spark):
+    """Two thousand products of one first word: a title is held against those that it names only."""
+    products = spark.createDataFrame([(i, f"granix {1000 + i}", ("m1", "", "")[i % 3], "Velmora") for i in range(2000)] + [(5000, "x9", None, "asus"), (5001, "granix 1003", "m1", "Velmora"), (5002, "abc", "", "")], "id long, name string, model string, brand string")
+    titles = spark.createDataFrame([(1, "velmora granix 1007"), (2, "granix 10031"), (3, "asus x9"), (4, "x9 seul"), (5, "abcd"), (6, "granix velmora"), (7, "m1 granix"), (8, "")], "title_id long, title string")
+    got = taxonomy.title_matches(titles, products)
+    assert sorted(tuple(x) for x in got.collect()) == [(1, 7, 180), (2, 3, 60), (3, 5000, 180), (7, 0, 180)]
+    keyed = taxonomy.search_keys(products).select(F.col("id").alias("product"), "name", F.coalesce("model", F.lit("")).alias("model"), "keys")
+    assert taxonomy.candidates(titles.limit(1).withColumnRenamed("title", "t"), keyed).count() == 1
+
+
 def token_score(q, t):
     """The ladder as a plain function."""
     def key(w):
