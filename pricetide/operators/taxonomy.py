@@ -38,7 +38,11 @@ def search_keys(products: DataFrame) -> DataFrame:
 
 
 def candidates(t: DataFrame, keyed: DataFrame) -> DataFrame:
-    """title_id, product where a phrase of the product (name, model, keys) begins at a word of the text ``t``."""
+    """title_id, product where a phrase of the product (name, model, keys) begins at a word of the text ``t``.
+
+    What is exploded is far larger than the size that is estimated for it.  Only the first words of
+    phrases can be broadcast to it; what is left is shuffled once, and its size known before it is joined.
+    """
     canonical = F.when(F.col("model") != "", F.col("model")).otherwise(F.col("name"))
     phrases = keyed.select("product", F.explode(F.array_distinct(F.array_compact(F.concat("keys", F.array(canonical, "model"))))).alias("piece")).where("piece <> ''")
     begin = lambda c: F.when(c.contains(" "), F.concat(F.substring_index(c, " ", 1), F.lit(" "))).otherwise(F.substring(c, 1, 1))
@@ -47,7 +51,7 @@ def candidates(t: DataFrame, keyed: DataFrame) -> DataFrame:
     rests = F.transform(words, lambda w, i: F.array_join(F.slice(words, i + 1, F.size(words)), " "))
     rest = t.select("title_id", F.explode(rests).alias("rest")).where("rest <> ''")
     begins = F.array(F.substring("rest", 1, 1), F.concat(F.substring_index("rest", " ", 1), F.lit(" ")))
-    asked = rest.select("title_id", "rest", F.explode(begins).alias("begin")).join(lengths, "begin")
+    asked = rest.select("title_id", "rest", F.explode(begins).alias("begin")).join(lengths.select("begin"), "begin", "left_semi").repartition("title_id").join(lengths, "begin")
     pieces = asked.select("title_id", F.explode(F.transform("lengths", lambda n: F.substring(F.col("rest"), F.lit(1), n))).alias("piece")).distinct()
     return pieces.join(phrases, "piece").select("title_id", "product").distinct()
 
@@ -61,7 +65,7 @@ def title_matches(titles: DataFrame, products: DataFrame, least: int = 40) -> Da
     phrases of this first word have are looked up (for phrases of one word, which
     may end inside a word, of this first letter).
     """
-    t = titles.select("title_id", scraped_name(F.col("title")).alias("t"))
+    t = titles.select("title_id", scraped_name(F.col("title")).alias("t")).repartition("title_id")
     text = lambda c: F.lower(F.coalesce(c, F.lit("")))
     keyed = search_keys(products).select(F.col("id").alias("product"), F.lower("name").alias("name"), text("model").alias("model"), text("brand").alias("brand"), "keys")
     # of products that are told alike only the smallest can be the best

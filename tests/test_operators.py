@@ -121,6 +121,32 @@ def test_titles_meet_products_by_whole_phrases(spark):
     assert taxonomy.candidates(titles.limit(1).withColumnRenamed("title", "t"), keyed).count() == 1
 
 
+def broadcast_rows(node):
+    """Rows of every broadcast table of an executed plan."""
+    if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return broadcast_rows(node.executedPlan())
+    if node.getClass().getSimpleName().endswith("QueryStageExec"):
+        return broadcast_rows(node.plan())
+    own = [node.metrics().apply("numOutputRows").value()] if node.getClass().getSimpleName() == "BroadcastExchangeExec" else []
+    return own + [n for i in range(node.children().size()) for n in broadcast_rows(node.children().apply(i))]
+
+
+def test_exploded_titles_are_not_broadcast(spark, tmp_path):
+    """A well compressed table of titles: its file is below the threshold, its words are not."""
+    spark.range(5000).select(F.col("id").alias("title_id"), F.concat(F.repeat(F.lit("carte graphique neuve "), 4), F.lit("granix "), F.col("id") + 1000).alias("title")).write.parquet(str(tmp_path / "t"))
+    spark.range(9000).select("id", F.concat(F.lit("granix "), F.col("id") + 1000).alias("name"), F.lit("").alias("model"), F.lit("Velmora").alias("brand")).write.parquet(str(tmp_path / "p"))
+    got = taxonomy.title_matches(spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "p")))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        rows = got.collect()
+        sent = broadcast_rows(got._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(rows) == 5000 and all(r["product"] == r["title_id"] for r in rows)
+    assert sent and max(sent) <= 18_000  # the phrases of the products; the titles have 140,000 beginnings
+
+
 def token_score(q, t):
     """The ladder as a plain function."""
     def key(w):
