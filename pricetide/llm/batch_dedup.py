@@ -45,6 +45,8 @@ TABLES = tuple(combinations(range(len(BLOCKS)), 2))
 WEIGHTS = {"model": 9, "line": 3, "brand": 1, "attribute": 1}
 #: Look-ups read only the stored offers of the batch's shops where it has at most so many shops and conditions.
 MOST_PLACES = 1_000
+#: The look-up keys of a batch of at most so many offers are broadcast to the stored ones.
+MOST_SENT = 2_000
 #: Word overlap from which two names without a readable model are the same text.
 LEAST_OVERLAP = 0.8
 
@@ -190,7 +192,9 @@ class OfferStore:
     what is stored; of the stored parts it reads the keys of the batch's shops,
     and the texts of the candidates.  A part that is no longer larger than twice
     the next one is merged with it, so there are logarithmically many parts and
-    each offer is rewritten as often.  ``buckets`` is fixed for a store; by
+    each offer is rewritten as often.  All but small batches are joined by merging:
+    files are several times smaller than their rows in memory, and a broadcast
+    chosen by their size would hold all of them in the driver.  ``buckets`` is fixed for a store; by
     default it is the session's number of shuffle partitions.
     """
 
@@ -250,9 +254,9 @@ class OfferStore:
         mine = spark.read.parquet(offers_at)
         self._roots(mine).write.parquet(roots_at)
         release(spark)
-        settled = mine.join(spark.read.parquet(roots_at), _OFFER_KEY, "left")
+        settled = mine.join(spark.read.parquet(roots_at).hint("merge"), _OFFER_KEY, "left")
         root = F.least("first_id", F.coalesce("root", "first_id"))
-        linked = rows.join(settled.select(*_OFFER_KEY, root.alias("root")), _OFFER_KEY).where("listing_id > root")
+        linked = rows.hint("merge").join(settled.select(*_OFFER_KEY, root.alias("root")), _OFFER_KEY).where("listing_id > root")
         linked.select(F.col("root").alias("first_listing_id"), "listing_id").distinct().write.parquet(found_at)
         new = settled.where(~F.coalesce("stored", F.lit(False)))
         texts = new.select(*_OFFER_KEY, "sku", root.alias("first_id"), F.col("root").isNotNull().alias("linked"))
@@ -264,7 +268,7 @@ class OfferStore:
     def _roots(self, mine: DataFrame) -> DataFrame:
         """Key of an offer, root, stored: the earliest offer that each offer of the batch agrees with, and whether it is stored already."""
         asked = rotated(mine).repartition(self.buckets, "block_key")
-        ask = asked.select("block_key", "place", "nth", "fingerprint", "offer_id")
+        ask = asked.select("block_key", "place", "nth", "fingerprint", "offer_id").hint("broadcast" if mine.count() <= MOST_SENT else "merge")
         places = [r[0] for r in mine.select(F.xxhash64("shop", "condition").alias("place")).distinct().limit(MOST_PLACES + 1).collect()]
         pairs = [self._met(ask, asked, mine, stored=False)]
         for number, _ in self.parts:
@@ -296,12 +300,12 @@ class OfferStore:
         if not stored:
             near = near.where("offer_id <> o_id")
         other = texts.select(*(F.col(c).alias("o_id" if c == "offer_id" else f"o_{c}") for c in _TEXT))
-        return near.join(other, "o_id")
+        return near.join(other.hint("merge"), "o_id")
 
     def _judged(self, met: DataFrame, mine: DataFrame) -> DataFrame:
         """The verified ones of the candidates of all parts: the offer's key, what the other states and how they agree."""
         own = mine.select(*_OFFER_KEY, "sku", "first_id")
-        pairs = met.join(own, "offer_id").where((F.col("shop") == F.col("o_shop")) & (F.col("condition") == F.col("o_condition")))
+        pairs = met.join(own.hint("merge"), "offer_id").where((F.col("shop") == F.col("o_shop")) & (F.col("condition") == F.col("o_condition")))
         equal = F.col("offer_key") == F.col("o_offer_key")
         earlier = F.col("o_first_id") < F.col("first_id")
         same_sku = F.coalesce((F.col("sku") == F.col("o_sku")) & earlier, F.lit(False))

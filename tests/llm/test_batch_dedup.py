@@ -161,3 +161,22 @@ def test_the_driver_keeps_nothing_of_finished_batches(spark):
         time.sleep(0.2)
     store.close()
     assert kept() <= before
+
+
+def test_no_large_batch_is_broadcast(spark, monkeypatch):
+    """Files tell too small a size: nothing but the keys of a small batch may be sent to the driver."""
+    from pyspark.sql.readwriter import DataFrameWriter
+    plans = []
+    for name in ("parquet", "saveAsTable"):
+        def seen(self, *args, write=getattr(DataFrameWriter, name), **kwargs):
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+            return write(self, *args, **kwargs)
+        monkeypatch.setattr(DataFrameWriter, name, seen)
+    rows = BASE + [row(20, 1, "Velmora Granix 1001 16GB 3200MHz"), row(21, 2, "Granix 1002 16GB 3200MHz")]
+    monkeypatch.setattr(bd, "MOST_SENT", 0, raising=False)
+    assert run(spark, rows) == {(1, 20), (2, 21)}
+    assert sum("Join" in p for p in plans) >= 6 and not [p for p in plans if "BroadcastExchange" in p]
+    monkeypatch.setattr(bd, "MOST_SENT", 100, raising=False)
+    plans.clear()
+    assert run(spark, rows) == {(1, 20), (2, 21)}
+    assert [p for p in plans if "BroadcastExchange" in p]
